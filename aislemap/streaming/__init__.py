@@ -1,0 +1,5 @@
+"""No streaming operators: the catalogue is processed one batch at a time.
+
+The column functions in ``aislemap.functions`` are stateless expressions, so
+they can be applied to a streaming DataFrame as they are.
+"""
