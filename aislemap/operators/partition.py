@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from aislemap.functions.maths import log_factorial, log_gamma
+from aislemap.session import materialise
 
 _ALL = "_all"
 _EPS = 2.220446049250313e-16
@@ -72,7 +73,8 @@ def expected_mutual_info(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def partition_scores(cells: DataFrame, by: Sequence[str] = (), adjusted: bool = True) -> DataFrame:
     """ARI, NMI, homogeneity, completeness, V-measure, purity parts and, if asked, AMI."""
-    keyed, keys = _keys(cells, by)
+    # the pair counts are small next to the rows and feed six aggregations
+    keyed, keys = _keys(materialise(cells), by)
     rows = keyed.groupBy(*keys, "u").agg(F.sum("n").alias("n"))
     cols = keyed.groupBy(*keys, "v").agg(F.sum("n").alias("n"))
     s = _sums(keyed, keys, "uv").join(_sums(rows, keys, "u"), keys).join(_sums(cols, keys, "v"), keys)
@@ -114,7 +116,7 @@ def purity(cells: DataFrame, by: Sequence[str] = (), noise: int | None = -1) ->
 
 def division_recovery(df: DataFrame, truth: str = "division", cluster: str = "cluster", max_noise: float = 0.5) -> DataFrame:
     """How well clusters recover a known division; a warning instead when most rows are noise."""
-    cells, keys = _keys(contingency(df, truth, cluster), ())
+    cells, keys = _keys(materialise(contingency(df, truth, cluster)), ())
     noise = cells.groupBy(*keys).agg(
         (F.sum(F.when(F.col("v") == -1, F.col("n")).otherwise(0.0)) / F.sum("n")).alias("noise_share")
     )

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from aislemap.functions.vector import distance, squared_distance, squared_norm
 from aislemap.operators.clean import fill_median_value, text_lengths
-from aislemap.operators.describe import cluster_centroids, crosstab_long, sample_key, top_n, with_centroid_distance
+from aislemap.operators.describe import cluster_centroids, crosstab_long, sample_key, top_n
 from aislemap.operators.partition import contingency, partition_scores
+from aislemap.session import small_side
 
 _ALL = "_all"
 
@@ -190,8 +191,9 @@ def calinski_harabasz(df: DataFrame, vec: str = "vec", cluster: str = "cluster")
 
 def davies_bouldin(df: DataFrame, vec: str = "vec", cluster: str = "cluster") -> DataFrame:
     """Mean over clusters of the worst ratio of spreads to centroid distance."""
-    spread = with_centroid_distance(df, vec, [cluster]).groupBy(cluster).agg(F.avg("distance").alias("s"))
-    centers = cluster_centroids(df, vec, [cluster]).join(spread, cluster).select(F.col(cluster).alias("k"), "s", F.col("centroid").alias("c"))
+    centers = small_side(cluster_centroids(df, vec, [cluster]).select(cluster, "centroid"), 128)
+    spread = df.join(centers, cluster).groupBy(cluster).agg(F.avg(distance(vec, "centroid")).alias("s"))
+    centers = centers.join(spread, cluster).select(F.col(cluster).alias("k"), "s", F.col("centroid").alias("c"))
     everyone = centers.agg(F.collect_list(F.struct("k", "s", "c"))).scalar()
     centers = centers.withColumn("others", everyone)
     own, s, c = F.col("k"), F.col("s"), F.col("c")
