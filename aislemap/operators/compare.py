@@ -41,7 +41,11 @@ CATEGORY_METRICS = ("num_clusters", "silhouette_score", "subcategory_nmi", "avg_
 REPORT_FIRST = ("silhouette_score", "subcategory_nmi", "num_clusters", "avg_top_seller_concentration", "price_homogeneity")
 DASHBOARD_METRICS = ("silhouette_score", "subcategory_nmi", "num_clusters", "price_homogeneity")
 
-_EVERY = Window.partitionBy(F.lit(0))
+
+def _every():
+    """A window over the whole table of methods."""
+    return Window.partitionBy(F.lit(0))
+
 
 
 def stack_methods(records: Sequence[DataFrame]) -> DataFrame:
@@ -67,7 +71,8 @@ def long_metrics(metrics: DataFrame, names: Sequence[str] | None = None) -> Data
     return long.select("method", "method_category", "e.metric", "e.value").where("value is not null")
 
 
-def _min_max(value: Column, window=_EVERY) -> tuple[Column, Column]:
+def _min_max(value: Column, window=None) -> tuple[Column, Column]:
+    window = window or _every()
     return F.min(value).over(window), F.max(value).over(window)
 
 
@@ -90,7 +95,7 @@ def method_score(metrics: DataFrame) -> DataFrame:
     geometric metrics for every method.
     """
     if "metrics_source" in metrics.columns:
-        approximated = F.max(F.coalesce(F.col("metrics_source") == "approximated_features", F.lit(False))).over(_EVERY)
+        approximated = F.max(F.coalesce(F.col("metrics_source") == "approximated_features", F.lit(False))).over(_every())
     else:
         approximated = F.lit(False)
     total = F.lit(0.0)
@@ -104,7 +109,7 @@ def method_score(metrics: DataFrame) -> DataFrame:
         else:
             low, high = _min_max(value)
             distance = high - value if metric in LOWER_IS_BETTER else value - low
-            scaled = F.when(F.count(value).over(_EVERY) > 1, distance / F.nullif(high - low, F.lit(0.0)))
+            scaled = F.when(F.count(value).over(_every()) > 1, distance / F.nullif(high - low, F.lit(0.0)))
         if metric == "subcategory_nmi":
             scaled = F.pow(scaled, F.lit(NMI_POWER))
         if metric == "noise_percent":
@@ -154,7 +159,7 @@ def radar_normalise(metrics: DataFrame, scope: str = "category") -> DataFrame:
         # a category whose methods all lack the metric still needs one method: nulls sort last
         order = Window.partitionBy("method_category").orderBy(F.desc_nulls_last("subcategory_nmi"), F.asc("method"))
         metrics = metrics.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
-        window = _EVERY
+        window = _every()
     else:
         window = Window.partitionBy("method_category")
     scaled = []

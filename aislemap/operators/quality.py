@@ -11,9 +11,10 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from aislemap.functions.vector import distance, squared_distance, squared_norm
-from aislemap.operators.clean import fill_median_value, text_lengths
+from aislemap.operators.clean import text_lengths
 from aislemap.operators.describe import cluster_centroids, crosstab_long, sample_key, top_n
 from aislemap.operators.partition import contingency, partition_scores
+from aislemap.operators.quantiles import exact_median
 from aislemap.session import small_side
 
 _ALL = "_all"
@@ -93,8 +94,9 @@ def centroid_separability(df: DataFrame, by: Sequence[str] = (), cluster: str =
     """
     if "title_length" not in df.columns:
         df = text_lengths(df)
-    df = df.withColumn("_p", fill_median_value(df, "price"))
-    df, keys = _keyed(df, by)
+    df, keys = _keyed(df.select(*by, cluster, "price", "title_length", "description_length"), by)
+    medians = small_side(exact_median(df, "price", keys, "_median"))
+    df = df.join(medians, keys, "left").withColumn("_p", F.coalesce("price", "_median"))
     means = df.groupBy(*keys, cluster).agg(
         F.array(F.avg("_p"), F.avg("title_length"), F.avg("description_length")).alias("c")
     )

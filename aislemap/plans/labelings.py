@@ -7,15 +7,15 @@ from pyspark.sql import DataFrame, functions as F
 # name, category, SQL text and column of the label: simple rules over a listing that
 # play the part of clustering methods in comparison queries
 METHOD_LABELS = [
-    ("size_label", "density-based", "cluster", F.col("cluster")),
+    ("size_label", "density-based", "cluster", lambda: F.col("cluster")),
     ("division_label", "traditional", "length(division) + 10 * ascii(division)",
-     F.length("division") + 10 * F.ascii("division")),
+     lambda: F.length("division") + 10 * F.ascii("division")),
     ("brand_label", "traditional", "CAST(replace(split_part(subcategory, ' ', 1), 'Brand#', '') AS INTEGER)",
-     F.regexp_replace(F.split_part("subcategory", F.lit(" "), F.lit(1)), "Brand#", "").cast("int")),
-    ("name_label", "transformer-based", "ascii(title) * 100 + length(title)", F.ascii("title") * 100 + F.length("title")),
-    ("seller_label", "transformer-based", "CAST(right(seller, 2) AS INTEGER) % 30", F.right("seller", F.lit(2)).cast("int") % 30),
+     lambda: F.regexp_replace(F.split_part("subcategory", F.lit(" "), F.lit(1)), "Brand#", "").cast("int")),
+    ("name_label", "transformer-based", "ascii(title) * 100 + length(title)", lambda: F.ascii("title") * 100 + F.length("title")),
+    ("seller_label", "transformer-based", "CAST(right(seller, 2) AS INTEGER) % 30", lambda: F.right("seller", F.lit(2)).cast("int") % 30),
     ("price_label", "topic-based", "CAST(least(floor(price / 10), 40) AS INTEGER)",
-     F.least(F.floor(F.col("price") / 10), F.lit(40)).cast("int")),
+     lambda: F.least(F.floor(F.col("price") / 10), F.lit(40)).cast("int")),
 ]
 
 
@@ -23,7 +23,7 @@ def label_methods(df: DataFrame) -> DataFrame:
     """One row per listing and method: (method, method_category, listing columns.., cluster)."""
     entries = F.array(
         *[
-            F.struct(F.lit(m).alias("method"), F.lit(category).alias("method_category"), label.cast("int").alias("cluster"))
+            F.struct(F.lit(m).alias("method"), F.lit(category).alias("method_category"), label().cast("int").alias("cluster"))
             for m, category, _, label in METHOD_LABELS
         ]
     )

@@ -84,3 +84,47 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("embedding").cast("array<double>").alias("vec"),
         F.col("label").cast("int").alias("label"),
     )
+
+
+def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One listing per part with the whole text of a document as its description."""
+    part = table(spark, sf_dir, "part")
+    docs = table(spark, sf_dir, "documents")
+    supplier = table(spark, sf_dir, "supplier")
+    n_docs = docs.agg(F.count("*")).scalar()
+    n_sellers = supplier.agg(F.count("*")).scalar()
+    keyed = part.withColumn("doc_id", F.col("p_partkey") % n_docs).withColumn("s_suppkey", F.col("p_partkey") % n_sellers)
+    df = keyed.join(docs.select("doc_id", "text"), "doc_id").join(supplier.select("s_suppkey", "s_name"), "s_suppkey")
+    return df.select(
+        F.col("p_partkey").alias("listing_id"),
+        F.concat_ws(" ", "p_name", "p_brand").alias("title"),
+        F.col("text").alias("description"),
+        F.col("p_retailprice").alias("price"),
+        F.col("s_name").alias("seller"),
+        F.col("p_type").alias("division"),
+        F.concat_ws(" ", "p_brand", "p_name").alias("subcategory"),
+        F.when(F.col("p_size") % 20 == 19, -1).otherwise(F.col("p_size") % 20).cast("int").alias("cluster"),
+    )
+
+
+# Phrases that exercise the text rules, chosen per part by its key.
+_PHRASES = [
+    "Brand new", "genuine leather", "water resistant", "Dėklas ir dangtis", "cover for the phone", "su bevielis krovikliu",
+    "professional silicon shell", "AUTHENTIC waterproof", "telefonui, 10 centimeters!", "kabelis - 5 mm", "cordless drill by hand",
+]
+_MEASURES = [" inch", "x20x30", " gb", "tb", "X7", '.5 inches', " mb ssd"]
+
+
+def messy_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product-like texts made from the parts, and every document."""
+    key = F.col("p_partkey")
+
+    def pick(options: list[str]):
+        return F.element_at(F.array(*[F.lit(o) for o in options]), (key % len(options) + 1).cast("int"))
+
+    made = table(spark, sf_dir, "part").select(
+        key.alias("listing_id"),
+        F.concat(pick(_PHRASES), F.lit(" "), F.col("p_name"), F.lit(" "), (F.col("p_size") * 7).cast("string"), pick(_MEASURES)).alias("text"),
+    )
+    docs = table(spark, sf_dir, "documents").select((-F.col("doc_id") - 1).alias("listing_id"), "text")
+    return made.unionByName(docs)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from aislemap.operators import partition, quality
 from aislemap.plans.labelings import METHOD_LABELS, label_methods
+from aislemap.session import materialise
 from aislemap.sources.warehouse import table
 from catalog_queries.cleaning import cleaned
 from catalog_queries.describing import CENTER, VEC, labelled
@@ -123,7 +124,7 @@ SELECT method, round(avg(d), 6) AS avg_centroid_distance, round(min(d), 6) AS mi
 def e13(spark, sf_dir):
     from aislemap.operators.clean import text_lengths
 
-    df = text_lengths(cleaned(spark, sf_dir, True)).drop("description")
+    df = materialise(text_lengths(cleaned(spark, sf_dir, True)).drop("description"))
     return rounded(quality.centroid_separability(label_methods(df), ["method"]))
 
 
