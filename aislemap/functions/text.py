@@ -127,13 +127,13 @@ def remove_stopwords(tokens, words) -> Column:
 
 def ngrams(tokens, low: int, high: int) -> Column:
     """All runs of ``low`` to ``high`` neighbouring tokens, joined by a space."""
-    tokens = _col(tokens)
 
-    def of_length(n: int) -> Column:
+    def of_length(t: Column, n: int) -> Column:
         if n == 1:
-            return tokens
-        starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-        runs = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
-        return F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<string>"))
+            return t
+        runs = F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, runs).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*[of_length(n) for n in range(low, high + 1)])
+    # the outer one-element transform computes the tokens once instead of once per run
+    bound = F.transform(F.array(_col(tokens)), lambda t: F.concat(*[of_length(t, n) for n in range(low, high + 1)]))
+    return bound[0]

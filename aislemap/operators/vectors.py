@@ -1 +1,329 @@
-"""placeholder"""
+"""Reduction, sampling, nearest neighbours and block-wise search over vectors."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import PCA
+from pyspark.ml.stat import Summarizer
+from pyspark.mllib.common import callMLlibFunc
+from pyspark.mllib.linalg import DenseMatrix
+from pyspark.mllib.linalg.distributed import IndexedRowMatrix
+from pyspark.mllib.util import MLUtils
+from pyspark.sql import DataFrame, Window, functions as F
+
+from aislemap.functions.vector import unit
+from aislemap.operators.quality import sample_rows
+from aislemap.operators.quantiles import exact_quantiles
+from aislemap.session import materialise
+
+seeded_sample = sample_rows
+
+# Default numbers of components.
+SVD_COMPONENTS, DENSITY_COMPONENTS = 100, 20
+
+
+@dataclass
+class Reduction:
+    """Reduced vectors (id, vec), singular values and the term side of the decomposition."""
+
+    vectors: DataFrame
+    singular_values: np.ndarray
+    components: np.ndarray  # features x k
+
+    def term_loadings(self, spark, terms: list[str]) -> DataFrame:
+        """(component, term, loading) for the first ``len(terms)`` features."""
+        part = self.components[: len(terms)]
+        wide = pd.DataFrame({"term": terms, "v": [row.tolist() for row in part]})
+        df = spark.createDataFrame(wide, "term string, v array<double>")
+        return df.select("term", F.posexplode("v").alias("component", "loading"))
+
+
+def truncated_svd(df: DataFrame, k: int = SVD_COMPONENTS, vec: str = "features", id_col: str = "listing_id") -> Reduction:
+    """Uncentred rank-``k`` projection of ML vectors, signs fixed.
+
+    The largest entry of every component is positive, so repeated runs agree.
+    """
+    rows = MLUtils.convertVectorColumnsFromML(df.select(F.col(id_col).cast("bigint"), vec), vec)
+    rows.persist()
+    try:
+        matrix = IndexedRowMatrix(rows)
+        svd = matrix.computeSVD(k, computeU=False)
+        v = np.array(svd.V.toArray())
+        strongest = np.abs(v).argmax(axis=0)
+        v = v * np.where(v[strongest, np.arange(v.shape[1])] < 0, -1.0, 1.0)
+        projected = matrix.multiply(DenseMatrix(v.shape[0], v.shape[1], v.flatten(order="F").tolist()))
+        # rows stay in the JVM: (index, vector)
+        out = callMLlibFunc("getIndexedRows", projected._java_matrix_wrapper._java_model)
+        out = MLUtils.convertVectorColumnsToML(out, "vector")
+        vectors = materialise(out.select(F.col("index").alias(id_col), vector_to_array("vector").alias("vec")))
+    finally:
+        rows.unpersist()
+    return Reduction(vectors, np.array(svd.s.toArray()), v)
+
+
+def explained_variance(original: DataFrame, reduced: DataFrame, vec: str = "vec") -> DataFrame:
+    """Share of the total variance kept by each component, and their sum.
+
+    Both tables have an array of doubles; ``original`` holds the full vectors.
+    """
+
+    def variances(df: DataFrame) -> DataFrame:
+        v = Summarizer.metrics("variance", "count").summary(array_to_vector(F.col(vec)))
+        row = df.agg(v.alias("s")).select(vector_to_array("s.variance").alias("v"), F.col("s.count").alias("n"))
+        # Spark's variance divides by n - 1
+        return row.select(F.transform("v", lambda x: x * (F.col("n") - 1) / F.col("n")).alias("v"))
+
+    total = variances(original).select(F.aggregate("v", F.lit(0.0), lambda s, x: s + x)).scalar()
+    kept = variances(reduced).withColumn("total", total)
+    return kept.select(F.posexplode(F.transform("v", lambda x: x / F.col("total"))).alias("component", "ratio"))
+
+
+def project_2d(df: DataFrame, vec: str = "vec", id_col: str = "listing_id") -> DataFrame:
+    """(id, x, y): the two leading principal components, for plotting."""
+    rows = df.select("*", array_to_vector(F.col(vec)).alias("_v"))
+    model = PCA(k=2, inputCol="_v", outputCol="_p").fit(rows)
+    pc = model.pc.toArray()
+    signs = np.where(pc[np.abs(pc).argmax(axis=0), [0, 1]] < 0, -1.0, 1.0)
+    p = vector_to_array("_p")
+    keep = [c for c in df.columns if c != vec]
+    return model.transform(rows).select(*keep, (p[0] * float(signs[0])).alias("x"), (p[1] * float(signs[1])).alias("y"))
+
+
+def zoom_bounds(df: DataFrame, cluster: str = "cluster", min_points: int = 10) -> DataFrame:
+    """Plot limits from the 2.5 and 97.5 percentiles of non-noise points, padded by a tenth of the range."""
+    points = df.where(F.col(cluster) != -1)
+    x = exact_quantiles(points, "x", [0.025, 0.975], names=["x0", "x1"]).select(F.struct("x0", "x1")).scalar()
+    y = exact_quantiles(points, "y", [0.025, 0.975], names=["y0", "y1"]).select(F.struct("y0", "y1")).scalar()
+    row = points.agg(F.count("*").alias("n")).withColumn("qx", x).withColumn("qy", y).select("n", "qx.*", "qy.*")
+    enough = F.col("n") >= min_points
+    cells = []
+    for axis in ("x", "y"):
+        low, high = F.col(axis + "0"), F.col(axis + "1")
+        pad = (high - low) * 0.1
+        cells += [F.when(enough, low - pad).alias(axis + "_min"), F.when(enough, high + pad).alias(axis + "_max")]
+    return row.select(*cells)
+
+
+# ---- block-wise search ----------------------------------------------------------
+#
+# Points are sorted into cells around pivots and cells are cut into blocks of
+# bounded size. A block is compared with another block only if the triangle
+# inequality over their pivots leaves room for a better partner, so the search is
+# exact, and only the best partners of each point leave a task.
+
+BLOCK_ROWS = 1024
+MAX_PIVOTS = 1024
+
+
+@dataclass
+class Blocks:
+    points: DataFrame  # id, vec and further columns, with block
+    summary: pd.DataFrame  # block, pivot, radius, rows
+    pivots: np.ndarray
+
+
+def make_blocks(df: DataFrame, id_col: str = "id", vec: str = "vec", block_rows: int = BLOCK_ROWS) -> Blocks:
+    """Assign every point to its nearest pivot and cut each cell into blocks of about ``block_rows``.
+
+    Pivots are points drawn in hash order, so dense regions get many of them and
+    no cell grows with the data's skew.
+    """
+    spark = df.sparkSession
+    n = df.count()
+    m = int(max(1, min(MAX_PIVOTS, n // block_rows, np.sqrt(n))))
+    chosen = sample_rows(df.select(id_col, vec), m, 7, id_col).toPandas()
+    pivots = np.array(chosen[vec].tolist(), dtype=float).reshape(len(chosen), -1)
+    shared = spark.sparkContext.broadcast(pivots)
+
+    @F.pandas_udf("cell int, far double")
+    def nearest(v: pd.Series) -> pd.DataFrame:
+        p = shared.value
+        x = np.array(v.tolist(), dtype=float)
+        d2 = (x**2).sum(1)[:, None] + (p**2).sum(1)[None, :] - 2 * x @ p.T
+        cell = d2.argmin(axis=1)
+        return pd.DataFrame({"cell": cell.astype("int32"), "far": np.sqrt(((x - p[cell]) ** 2).sum(1))})
+
+    placed = df.withColumn("_n", nearest(vec)).select("*", "_n.cell", "_n.far").drop("_n")
+    placed = materialise(placed)
+    sizes = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    split = F.create_map(*[F.lit(int(x)) for c, s in sizes.items() for x in (c, -(-s // block_rows))])
+    sub = F.pmod(F.xxhash64(id_col), split[F.col("cell")])
+    placed = placed.withColumn("block", F.col("cell").cast("bigint") * 1_000_000 + sub)
+    summary = placed.groupBy("block", "cell").agg(F.max("far").alias("radius"), F.count("*").alias("rows")).toPandas()
+    return Blocks(placed.drop("cell", "far"), summary.sort_values("block").reset_index(drop=True), pivots)
+
+
+def block_search(
+    blocks: Blocks, kernel: str, k: int = 1, id_col: str = "id", vec: str = "vec", extra: tuple[str, ...] = (),
+    bound: str | None = None,
+) -> DataFrame:
+    """(id, other, value): the ``k`` best partners of every point, exactly.
+
+    Kernels: ``knn`` (distance), ``ward`` (merge cost from centroids and sizes in
+    ``extra[0]``), ``foreign`` (mutual reachability to another component, with core
+    distances and components in ``extra``). Ties go to the lower pair of ids.
+    ``bound`` names a column with a known upper bound of the best value.
+    """
+    spark = blocks.points.sparkSession
+    info = blocks.summary
+    meta = spark.sparkContext.broadcast(
+        (info["block"].to_numpy(), info["cell"].to_numpy(), info["radius"].to_numpy(), blocks.pivots)
+    )
+    cols = [id_col, vec, *extra, *([bound] if bound else [])]
+    packed = blocks.points.groupBy("block").agg(
+        *[F.collect_list(c).alias(c) for c in cols]
+    )
+    packed = materialise(packed)
+    first = kernel == "foreign"
+
+    def prepare(row, prefix: str):
+        ids = np.asarray(row[prefix + id_col], dtype=np.int64)
+        x = np.stack([np.asarray(v, dtype=float) for v in row[prefix + vec]])
+        return ids, x, [np.asarray(row[prefix + e]) for e in extra]
+
+    def values(d, left, right):
+        """Distances to the value that is minimised."""
+        if kernel == "knn":
+            return d
+        if kernel == "ward":
+            a, b = left[0][:, None].astype(float), right[0][None, :].astype(float)
+            return a * b / (a + b) * d * d
+        core = np.maximum(left[0][:, None], right[0][None, :])
+        return np.where(left[1][:, None] == right[1][None, :], np.inf, np.maximum(core, d))
+
+    def best(left, right, limit):
+        """Up to k best partners per left row: (row, other id, value)."""
+        ids_l, x, ex_l = left
+        ids_r, y, ex_r = right
+        rows, others, found = [], [], []
+        norms = (y**2).sum(1)
+        for s in range(0, len(x), 256):
+            xs = x[s : s + 256]
+            ex = [e[s : s + 256] for e in ex_l]
+            own = (xs**2).sum(1)
+            d2 = np.maximum(own[:, None] + norms[None, :] - 2 * xs @ y.T, 0)
+            rough = values(np.sqrt(d2), ex, ex_r)
+            rough[ids_l[s : s + 256][:, None] == ids_r[None, :]] = np.inf
+            kk = min(k, rough.shape[1])
+            cut = np.minimum(np.partition(rough, kk - 1, axis=1)[:, kk - 1], limit[s : s + 256])
+            # candidates up to rounding are measured exactly, in an order that is the same from both sides
+            slack = 1e-6 * (1 + np.where(np.isfinite(cut), np.abs(cut), 0))
+            r, c = np.nonzero((rough <= (cut + slack)[:, None]) & np.isfinite(rough))
+            if not len(r):
+                continue
+            d = np.sqrt(((xs[r] - y[c]) ** 2).sum(1))
+            if kernel == "knn":
+                v = d
+            elif kernel == "ward":
+                a, b = ex[0][r].astype(float), ex_r[0][c].astype(float)
+                v = a * b / (a + b) * d * d
+            else:
+                v = np.maximum(np.maximum(ex[0][r], ex_r[0][c]), d)
+            rows.append(r + s)
+            others.append(ids_r[c])
+            found.append(v)
+        if not rows:
+            return np.empty(0, int), np.empty(0, np.int64), np.empty(0)
+        return np.concatenate(rows), np.concatenate(others), np.concatenate(found)
+
+    def keep(row, other, value, ids, room):
+        """The k smallest values per row by (value, lower id, higher id)."""
+        a = np.minimum(ids[row], other)
+        b = np.maximum(ids[row], other)
+        order = np.lexsort((b, a, np.round(value, 12), row))
+        row, other, value = row[order], other[order], value[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        take = place < room
+        return row[take], other[take], value[take]
+
+    def reach(block: int, far: np.ndarray) -> np.ndarray:
+        """Least possible distance from a block to every block."""
+        names, cells, radius, pivots = meta.value
+        at = int(np.searchsorted(names, block))
+        gap = np.sqrt(((pivots[cells] - pivots[cells[at]]) ** 2).sum(1))
+        return np.maximum(gap - radius - radius[at], 0.0)
+
+    def own_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Best partners inside the block, and which other blocks could hold better ones."""
+        names = meta.value[0]
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                here = prepare(row, "")
+                limit = np.asarray(row[bound], dtype=float) if bound else np.full(len(here[0]), np.inf)
+                r, o, v = keep(*best(here, here, limit), here[0], k)
+                worst = limit.copy()
+                full = np.bincount(r, minlength=len(here[0])) >= k
+                last = np.full(len(here[0]), -np.inf)
+                np.maximum.at(last, r, v)
+                worst = np.where(full, np.minimum(last, worst), worst)
+                low = reach(row["block"], worst)
+                if kernel == "ward":
+                    # the partner's size is unknown: one is the least
+                    smallest = float(here[2][0].min())
+                    low = smallest / (smallest + 1.0) * low * low
+                targets = names[(low <= worst.max() * (1 + 1e-9)) & (names != row["block"])]
+                yield pd.DataFrame(
+                    {"block": [row["block"]], "targets": [targets.tolist()], "ids": [here[0][r].tolist()], "others": [o.tolist()], "vals": [v.tolist()], "worst": [worst.tolist()]}
+                )
+
+    local = packed.mapInPandas(
+        own_block,
+        "block bigint, targets array<bigint>, ids array<bigint>, others array<bigint>, vals array<double>, worst array<double>",
+    )
+    local = materialise(local)
+    inside = local.select(F.explode(F.arrays_zip("ids", "others", "vals")).alias("z")).select(
+        F.col("z.ids").alias("id"), F.col("z.others").alias("other"), F.col("z.vals").alias("value")
+    )
+    wanted = local.select(F.col("block"), "worst", F.explode("targets").alias("target"))
+    right = packed.select(F.col("block").alias("target"), *[F.col(c).alias("r_" + c) for c in cols])
+    pairs = wanted.join(packed, "block").join(right, "target")
+
+    def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                here, there = prepare(row, ""), prepare(row, "r_")
+                r, o, v = keep(*best(here, there, np.asarray(row["worst"], dtype=float)), here[0], k)
+                yield pd.DataFrame({"id": here[0][r], "other": o, "value": v})
+
+    found = inside.unionByName(pairs.mapInPandas(across, "id bigint, other bigint, value double"))
+    low_id, high_id = F.least("id", "other"), F.greatest("id", "other")
+    order = Window.partitionBy("id").orderBy(F.round("value", 12), low_id, high_id)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def knn_graph(df: DataFrame, k: int = 15, metric: str = "euclidean", vec: str = "vec", id_col: str = "listing_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, neighbour_id, distance, rank): the exact ``k`` nearest other rows, ties by id.
+
+    Rows with the same vector are searched once and carry their ``k + 1`` lowest
+    ids, which is all that copies can contribute to any neighbour list.
+    """
+    if metric not in ("euclidean", "cosine"):
+        raise ValueError(f"unknown metric {metric}")
+    shape = unit(vec) if metric == "cosine" else F.col(vec)
+    points = df.select(F.col(id_col).cast("bigint").alias("id"), shape.alias("vec"))
+    key = F.xxhash64("vec")
+    lowest = Window.partitionBy("vec").orderBy("id")
+    # the cut at k + 1 happens before the shuffle, so copies cost nothing
+    copies = points.withColumn("r", F.row_number().over(lowest)).where(F.col("r") <= k + 1)
+    groups = copies.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    groups = materialise(groups.select(F.col("ids")[0].alias("id"), "vec", "ids"))
+    blocks = make_blocks(groups, "id", "vec", block_rows)
+    near = block_search(blocks, "knn", k).select(F.col("id").alias("gid"), F.col("other").alias("oid"), "value")
+    itself = groups.select(F.col("id").alias("gid"), F.col("id").alias("oid"), F.lit(0.0).alias("value"))
+    members = groups.select(F.col("id").alias("oid"), "ids")
+    # candidates per distinct vector, cut to the k + 1 that can matter
+    cand = near.unionByName(itself).join(members, "oid").select("gid", "value", F.explode("ids").alias("neighbour_id"))
+    place = Window.partitionBy("gid").orderBy(F.round("value", 12), "neighbour_id")
+    cand = cand.withColumn("r", F.row_number().over(place)).where(F.col("r") <= k + 1)
+    lists = cand.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("r", "neighbour_id", "value"))).alias("list"))
+    owner = groups.select(F.col("id").alias("gid"), "vec")
+    mine = points.join(owner.withColumn("_k", key).drop("vec"), key == F.col("_k")).select("id", "gid")
+    others = F.filter("list", lambda e: e["neighbour_id"] != F.col("id"))
+    rows = mine.join(lists, "gid").select("id", F.posexplode(F.slice(others, 1, k)).alias("p", "e"))
+    value = F.col("e.value") if metric == "euclidean" else F.col("e.value") * F.col("e.value") / 2
+    return rows.select("id", F.col("e.neighbour_id").alias("neighbour_id"), value.alias("distance"), (F.col("p") + 1).alias("rank"))

@@ -121,7 +121,7 @@ def t11(spark, sf_dir):
 _STOP = "(" + ", ".join(f"'{w}'" for w in features.ENGLISH_STOPWORDS) + ")"
 
 
-@query("t12_remove_english_stopwords", with_(_TOK) + f"SELECT listing_id, len(k) AS n_tokens, md5(array_to_string(k, ' ')) AS tokens_md5 FROM (SELECT listing_id, list_filter(t, x -> x NOT IN {_STOP}) AS k FROM toks)")
+@query("t12_remove_english_stopwords", with_(_TOK) + f"SELECT listing_id, len(k) AS n_tokens, md5(array_to_string(k, ' ')) AS tokens_md5 FROM (SELECT listing_id, list_filter(t, lambda x: x NOT IN {_STOP}) AS k FROM toks)")
 def t12(spark, sf_dir):
     df = texts(spark, sf_dir).select("listing_id", tx.remove_stopwords(tx.tokenize("text"), features.ENGLISH_STOPWORDS).alias("t"))
     return df.select("listing_id", F.size("t").cast("bigint").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
@@ -169,7 +169,7 @@ FROM part JOIN documents ON doc_id = p_partkey % (SELECT count(*) FROM documents
 
 
 def stopped(text: str) -> str:
-    return f"list_filter(regexp_extract_all(lower({text}), '[{W}]{{2,}}'), x -> x NOT IN {_STOP})"
+    return f"list_filter(regexp_extract_all(lower({text}), '[{W}]{{2,}}'), lambda x: x NOT IN {_STOP})"
 
 
 _BOTH = "both_toks AS (SELECT listing_id, " + stopped("title || ' ' || description") + " AS t FROM products)"
