@@ -1,0 +1,50 @@
+"""Best partner of every point: a bounded broadcast while the table is small, blocks beyond."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+
+from aislemap.operators.vectors import block_search, make_blocks
+
+# Up to this many points the whole table goes to every task as one matrix.
+SMALL_ROWS = 4096
+
+
+def best_partners(df: DataFrame, n: int, kernel: str, extra: tuple[str, ...], bound: str | None = None) -> DataFrame:
+    """(id, other, value) for ``df`` with ``n`` rows of (id, vec, extra..); see ``block_search`` for kernels."""
+    if n > SMALL_ROWS:
+        return block_search(make_blocks(df), kernel, 1, extra=extra, bound=bound).select("id", "other", "value")
+    table = df.select("id", "vec", *extra).orderBy("id").limit(SMALL_ROWS).toPandas()
+    points = np.array(table["vec"].tolist(), dtype=float)
+    shared = df.sparkSession.sparkContext.broadcast((table["id"].to_numpy(), points, [table[e].to_numpy() for e in extra]))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, points, cols = shared.value
+        step = max(1, 4_000_000 // (points.shape[0] * points.shape[1]))
+        for pdf in batches:
+            for s in range(0, len(pdf), step):
+                part = pdf.iloc[s : s + step]
+                me = np.searchsorted(ids, part["id"].to_numpy())
+                # differences, not the expanded square: both sides of a pair get the same number
+                d = np.sqrt(((points[me][:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
+                if kernel == "ward":
+                    a, b = cols[0][me][:, None].astype(float), cols[0][None, :].astype(float)
+                    v = a * b / (a + b) * d * d
+                else:
+                    core, comp = cols
+                    v = np.maximum(np.maximum(core[me][:, None], core[None, :]), d)
+                    v[comp[me][:, None] == comp[None, :]] = np.inf
+                v = np.round(v, 12)
+                v[np.arange(len(me)), me] = np.inf
+                # ids ascend, so among equal values the first partner gives the lowest pair of ids
+                # unless a partner below shares its value; pairs compare by (lower id, higher id)
+                best = v.argmin(axis=1)
+                value = v[np.arange(len(me)), best]
+                found = np.isfinite(value)
+                yield pd.DataFrame({"id": ids[me][found], "other": ids[best][found], "value": value[found]})
+
+    return df.select("id").mapInPandas(search, "id bigint, other bigint, value double")

@@ -179,7 +179,6 @@ def block_search(
         *[F.collect_list(c).alias(c) for c in cols]
     )
     packed = materialise(packed)
-    first = kernel == "foreign"
 
     def prepare(row, prefix: str):
         ids = np.asarray(row[prefix + id_col], dtype=np.int64)
@@ -306,7 +305,6 @@ def knn_graph(df: DataFrame, k: int = 15, metric: str = "euclidean", vec: str =
         raise ValueError(f"unknown metric {metric}")
     shape = unit(vec) if metric == "cosine" else F.col(vec)
     points = df.select(F.col(id_col).cast("bigint").alias("id"), shape.alias("vec"))
-    key = F.xxhash64("vec")
     lowest = Window.partitionBy("vec").orderBy("id")
     # the cut at k + 1 happens before the shuffle, so copies cost nothing
     copies = points.withColumn("r", F.row_number().over(lowest)).where(F.col("r") <= k + 1)
@@ -321,8 +319,7 @@ def knn_graph(df: DataFrame, k: int = 15, metric: str = "euclidean", vec: str =
     place = Window.partitionBy("gid").orderBy(F.round("value", 12), "neighbour_id")
     cand = cand.withColumn("r", F.row_number().over(place)).where(F.col("r") <= k + 1)
     lists = cand.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("r", "neighbour_id", "value"))).alias("list"))
-    owner = groups.select(F.col("id").alias("gid"), "vec")
-    mine = points.join(owner.withColumn("_k", key).drop("vec"), key == F.col("_k")).select("id", "gid")
+    mine = points.join(groups.select(F.col("id").alias("gid"), "vec"), "vec").select("id", "gid")
     others = F.filter("list", lambda e: e["neighbour_id"] != F.col("id"))
     rows = mine.join(lists, "gid").select("id", F.posexplode(F.slice(others, 1, k)).alias("p", "e"))
     value = F.col("e.value") if metric == "euclidean" else F.col("e.value") * F.col("e.value") / 2
