@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from aislemap.operators import features, kmeans, quality, vectors as vx
+from aislemap.operators import density, features, kmeans, topics, vectors as vx, ward
+from aislemap.session import materialise
 from aislemap.sources.warehouse import products, vectors
 from catalog_queries.cleaning import cleaned
-from catalog_queries.describing import VEC, labelled
+from catalog_queries.describing import CENTER, VEC, labelled
 from catalog_queries.oracle import with_
 from catalog_queries.registry import Registry
 from catalog_queries.scoring import rounded
@@ -119,3 +120,60 @@ def c11(spark, sf_dir):
 
     df = vectors(spark, sf_dir).withColumn("cluster", F.when(F.col("label") < 2, -1).otherwise(F.col("label")))
     return relabel_noise(df).select("listing_id", "cluster", "is_noise")
+
+
+_CORE = """nd AS (SELECT a.listing_id AS id, b.listing_id AS neighbour_id, list_distance(a.vec, b.vec) AS d,
+row_number() OVER (PARTITION BY a.listing_id ORDER BY list_distance(a.vec, b.vec), b.listing_id) AS r FROM vec a JOIN vec b ON a.listing_id <> b.listing_id),
+core AS (SELECT id, max(d) AS core FROM nd WHERE r <= 10 GROUP BY 1)"""
+
+
+@query("c9a_core_distance", with_(VEC, _CORE) + "SELECT id, round(core, 6) AS core FROM core")
+def c9a(spark, sf_dir):
+    return rounded(density.core_distances(vx.knn_graph(vectors(spark, sf_dir), 10)))
+
+
+@query("c9b_mutual_reachability", with_(VEC, _CORE) + """SELECT nd.id, nd.neighbour_id, round(greatest(nd.d, a.core, b.core), 6) AS weight
+FROM nd JOIN core a ON a.id = nd.id JOIN core b ON b.id = nd.neighbour_id WHERE r <= 10""")
+def c9b(spark, sf_dir):
+    graph = materialise(vx.knn_graph(vectors(spark, sf_dir), 10))
+    return rounded(density.mutual_reachability(graph, density.core_distances(graph)))
+
+
+@query("c9c_spanning_tree")
+def c9c(spark, sf_dir):
+    points = vectors(spark, sf_dir).select(F.col("listing_id").alias("id"), "vec")
+    graph = materialise(vx.knn_graph(points, 10, id_col="id"))
+    return rounded(density.spanning_tree(materialise(points.join(density.core_distances(graph), "id")), graph))
+
+
+@query("c9_density_cluster")
+def c9(spark, sf_dir):
+    return density.density_cluster(vectors(spark, sf_dir), 10, 5).select("listing_id", "cluster")
+
+
+@query("c10_membership_probability")
+def c10(spark, sf_dir):
+    df = density.density_cluster(vectors(spark, sf_dir), 10, 5, "leaf")
+    return rounded(df.select("listing_id", "cluster", "probability"))
+
+
+@query("c7_ward_cluster")
+def c7(spark, sf_dir):
+    return ward.ward_cluster(vectors(spark, sf_dir), 10).select("listing_id", "cluster")
+
+
+@query("c8_merge_tree")
+def c8(spark, sf_dir):
+    return rounded(ward.merge_tree(ward.ward_tree(vectors(spark, sf_dir))))
+
+
+@query("c13_topic_model")
+def c13(spark, sf_dir):
+    rows, _ = topics.topic_model(products(spark, sf_dir).select("listing_id", "title"), "title", 20, 8)
+    return rows.select("listing_id", "cluster", F.round("probability", 6).alias("probability"))
+
+
+@query("c14_topic_probability", with_(VEC, CENTER) + """SELECT listing_id, round(max(1 / d) / sum(1 / d), 6) AS probability FROM
+(SELECT listing_id, list_distance(vec, c) AS d FROM vec, center) GROUP BY 1""")
+def c14(spark, sf_dir):
+    return rounded(topics.topic_probability(labelled(spark, sf_dir)).select("listing_id", "probability"))
