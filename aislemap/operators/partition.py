@@ -41,9 +41,9 @@ def _sums(counts: DataFrame, keys: list[str], tag: str) -> DataFrame:
 def expected_mutual_info(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mutual information expected by chance with the marginals held fixed.
 
-    Equal marginals are grouped first. The hypergeometric weight is negligible
-    (below 1e-300, by Hoeffding's bound) further than 20 sqrt(m) from its mean, m
-    being the smaller marginal, so only that stretch of overlaps is summed.
+    Equal marginals are grouped first. By Bernstein's bound the hypergeometric
+    weight further than 14 standard deviations and 70 from its mean is below 1e-39,
+    far under the last digit of the sum, so only that stretch of overlaps is added.
     """
     cells, keys = _keys(cells, by)
 
@@ -54,14 +54,16 @@ def expected_mutual_info(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     total = cells.groupBy(*keys).agg(F.sum("n").alias("t"))
     pairs = marginal("u", "a").join(marginal("v", "b"), keys).join(total, keys)
     a, b, t = F.col("a"), F.col("b"), F.col("t")
-    reach = 20 * F.sqrt(F.least(a, b)) + 50
     mean = a * b / t
+    reach = 14 * F.sqrt(mean * (1 - F.greatest(a, b) / t)) + 70
     first = F.greatest(F.lit(1.0), a + b - t, F.floor(mean - reach)).cast("bigint")
     last = F.least(a, b, F.ceil(mean + reach)).cast("bigint")
     fixed = (
         log_factorial(a) + log_factorial(b) + log_factorial(t - a) + log_factorial(t - b) - log_factorial(t)
     )
-    pairs = pairs.withColumn("fixed", fixed).withColumn("nij", F.explode(F.when(first <= last, F.sequence(first, last))))
+    # a few pairs unfold into many terms: spread them by a fixed number of partitions
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.withColumn("fixed", fixed).repartition(parts, "a", "b").withColumn("nij", F.explode(F.when(first <= last, F.sequence(first, last))))
     n = F.col("nij").cast("double")
     log_weight = (
         F.col("fixed") - log_factorial(n) - log_factorial(a - n) - log_factorial(b - n) - log_gamma(t - a - b + n + 1)

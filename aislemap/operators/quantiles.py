@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from aislemap.session import materialise
+
 # Ranges per power of two: a range is at most 4.4 % wide.
 RANGES_PER_OCTAVE = 16
 
@@ -35,6 +37,8 @@ def exact_quantiles(
         .agg(F.count("*").alias("c"))
         .withColumn("r", _value_range(F.col("v")))
     )
+    # counts are far smaller than the rows and are read twice
+    counts = materialise(counts)
     per_range = counts.groupBy(*by, "r").agg(F.sum("c").alias("c"))
     group = Window.partitionBy(*(by or [F.lit(0)]))
     per_range = per_range.select(

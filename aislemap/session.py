@@ -68,3 +68,14 @@ def small_side(df: DataFrame, cells_per_row: int = 1) -> DataFrame:
     """Compute a lookup side once and broadcast it only if its counted size allows."""
     df = materialise(df)
     return F.broadcast(df) if df.count() * cells_per_row <= BROADCAST_CELLS else df
+
+
+# Inputs with less than this per core come in too few splits for costly row functions.
+SPLIT_BYTES = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small input over all cores before costly row-wise work; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df

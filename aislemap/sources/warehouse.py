@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from aislemap.session import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -72,8 +74,10 @@ def raw_listings(spark: SparkSession, sf_dir: str, description: bool = True) ->
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as listings: the source sells, the language is the division."""
-    return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("listing_id"), "text", F.col("source").alias("seller"), F.col("lang").alias("division")
+    return spread(
+        table(spark, sf_dir, "documents").select(
+            F.col("doc_id").alias("listing_id"), "text", F.col("source").alias("seller"), F.col("lang").alias("division")
+        )
     )
 
 
@@ -127,4 +131,4 @@ def messy_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(pick(_PHRASES), F.lit(" "), F.col("p_name"), F.lit(" "), (F.col("p_size") * 7).cast("string"), pick(_MEASURES)).alias("text"),
     )
     docs = table(spark, sf_dir, "documents").select((-F.col("doc_id") - 1).alias("listing_id"), "text")
-    return made.unionByName(docs)
+    return spread(made.unionByName(docs))
