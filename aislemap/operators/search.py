@@ -40,8 +40,7 @@ def best_partners(df: DataFrame, n: int, kernel: str, extra: tuple[str, ...], bo
                     v[comp[me][:, None] == comp[None, :]] = np.inf
                 v = np.round(v, 12)
                 v[np.arange(len(me)), me] = np.inf
-                # ids ascend, so among equal values the first partner gives the lowest pair of ids
-                # unless a partner below shares its value; pairs compare by (lower id, higher id)
+                # ids ascend, so among equal values the first partner gives the lowest (lower, higher) pair
                 best = v.argmin(axis=1)
                 value = v[np.arange(len(me)), best]
                 found = np.isfinite(value)
