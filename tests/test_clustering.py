@@ -231,3 +231,17 @@ def test_kmeans_invariants(spark):
     assert [r["k"] for r in sweep.orderBy("k").collect()] == [2, 4]
     best = kmeans.select_best_k(spark.createDataFrame([(5, 0.3, 1.0), (6, None, 1.0), (4, 0.3, 1.0)], "k int, silhouette double, inertia double")).first()
     assert best["k"] == 4
+
+
+def test_sweeps(spark):
+    from aislemap.operators import quality
+
+    x = points(30, 2, seed=2, groups=3)
+    df = frame(spark, x).cache()
+    cuts = {r["k"]: r["silhouette"] for r in ward.sweep_ward(df, [2, 3, 6]).collect()}
+    assert set(cuts) == {2, 3, 6} and all(-1 <= s <= 1 for s in cuts.values())
+    run = density.sweep_density(df, [(5, 3)]).first()
+    assert run["n_clusters"] >= 0 and 0 <= run["noise_percent"] <= 100
+    labelled = kmeans.kmeans(df, 3, restarts=1)
+    assert -1 <= quality.silhouette_fast(labelled) <= 1
+    assert quality.basic_cluster_metrics(labelled).first()["num_clusters"] == 3
