@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import string
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -115,8 +117,8 @@ def cell_bits(rows: int) -> int:
     return max(0, math.ceil(math.log2(max(1.0, math.sqrt(rows) / 4))))
 
 
-def seeded_rank(df: DataFrame, keys: list[str], order: str, ties: list, rows: int) -> DataFrame:
-    """Adds ``rank`` (from 0, in the order of a ``number_hash`` column) and ``of`` (rows of the key).
+def seeded_rank(df: DataFrame, keys: list[str], order: str, ties: list, rows: int, per_key: DataFrame | None = None) -> DataFrame:
+    """Adds ``rank`` (from 0, in the order of a ``number_hash`` column), ``of`` (rows of the key) and the columns of ``per_key``.
 
     No key is gathered in one task: rows are ranked in cells of neighbouring hashes, and
     the counts of the cells before give the rest. Ties are broken by the columns given.
@@ -133,12 +135,15 @@ def seeded_rank(df: DataFrame, keys: list[str], order: str, ties: list, rows: in
         F.coalesce(F.sum("count").over(key.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
         F.sum("count").over(key).alias("of"),
     )
-    same = F.col("cell") == F.col("ccell")
-    for k in here:
-        same = same & F.col(k).eqNullSafe(F.col(f"c{k}"))
+    more = [c for c in per_key.columns if c not in keys] if per_key is not None else []
+    if per_key is not None:
+        # the counts are joined first, so that the rows need one exchange only
+        given = per_key.select(*[F.col(k).alias(f"g{h}") for k, h in zip(keys, here)], *more)
+        counts = counts.join(given, reduce(and_, [F.col(f"c{k}").eqNullSafe(F.col(f"g{k}")) for k in here])).drop(*[f"g{k}" for k in here])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"c{k}")) for k in here], F.col("cell") == F.col("ccell"))
     inside = Window.partitionBy(*here, "cell").orderBy(F.col(f"row.{order}"), *[F.col(f"row.{t}") for t in ties])
     ranked = packed.withColumn("place", F.row_number().over(inside)).join(counts, same)
-    return ranked.select("row.*", (F.col("before") + F.col("place") - 1).alias("rank"), "of")
+    return ranked.select("row.*", (F.col("before") + F.col("place") - 1).alias("rank"), "of", *more)
 
 
 def whole_row_hash(df: DataFrame) -> Column:

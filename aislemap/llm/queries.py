@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from aislemap.llm import sql
 from aislemap.llm.common import documents
+from aislemap.llm.decontaminate import WINDOW as ITEM_WINDOW, decontaminate
 from aislemap.llm.exact_dedup import exact_dedup
 from aislemap.llm.license_scan import BASE, COVERAGE, NEAR, NOTICES, scan_licenses
+from aislemap.llm.mixing import count_words, mix
+from aislemap.llm.repeats import repeated_spans
 from aislemap.llm.sharding import SEED, SHARDS, interleave
 from aislemap.session import materialise
 
@@ -32,11 +35,33 @@ def op1_interleaved_shards(spark, sf_dir):
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op2_repeated_spans")
+def op2_repeated_spans(spark, sf_dir):
+    return repeated_spans(documents(spark, sf_dir)).drop("spans")
+
+
 @query("op4_license_scan", sql.license_scan(BASE, NOTICES, NEAR, COVERAGE))
 def op4_license_scan(spark, sf_dir):
     return scan_licenses(documents(spark, sf_dir)).drop("spans")
 
 
+@query("op6_source_mix")
+def op6_source_mix(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "source", count_words("text").alias("size"))
+    mixed = mix(materialise(docs), size="size")
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op7_benchmark_decontamination", sql.decontamination(ITEM_WINDOW))
+def op7_benchmark_decontamination(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = decontaminate(docs, documents(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 @query("op10_exact_dedup", sql.EXACT_DEDUP)
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(documents(spark, sf_dir))

@@ -56,3 +56,21 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
 FROM d LEFT JOIN per USING (doc_id)
 """
+
+
+def decontamination(window: int) -> str:
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, '{_TERMS}') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all({_LOW}, '{_TERMS}') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(w), {window}) AS size, array_to_string(w[place + 1 : place + least(len(w), {window})], ' ') AS run
+  FROM (SELECT *, unnest(range(greatest(len(w) - {window}, 0) + 1)) AS place FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM iw),
+dw AS (SELECT doc_id, size, place, array_to_string(w[place + 1 : place + size], ' ') AS run
+  FROM (SELECT doc_id, w, size, unnest(range(len(w) - size + 1)) AS place FROM d, sizes WHERE len(w) >= size)),
+hit AS (SELECT doc_id, place, size, item_id FROM dw JOIN iw USING (size, run)),
+words AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, place + unnest(range(size)) FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS items_sha256 FROM hit GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
