@@ -10,6 +10,7 @@ from aislemap.llm.decontaminate import WINDOW as ITEM_WINDOW, decontaminate
 from aislemap.llm.exact_dedup import exact_dedup
 from aislemap.llm.license_scan import BASE, COVERAGE, NEAR, NOTICES, scan_licenses
 from aislemap.llm.mixing import count_words, mix
+from aislemap.llm.near_dedup import near_duplicates
 from aislemap.llm.repeats import repeated_spans
 from aislemap.llm.sharding import SEED, SHARDS, interleave
 from aislemap.session import materialise
@@ -45,6 +46,11 @@ def op4_license_scan(spark, sf_dir):
     return scan_licenses(documents(spark, sf_dir)).drop("spans")
 
 
+@query("op5_near_duplicates")
+def op5_near_duplicates(spark, sf_dir):
+    return near_duplicates(documents(spark, sf_dir)).drop("text_hash")
+
+
 @query("op6_source_mix")
 def op6_source_mix(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "source", count_words("text").alias("size"))
