@@ -104,7 +104,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataF
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     known = known.orderBy(F.xxhash64(F.lit("labels"), "doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    # bounded by ``most``
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
 
 
 def number_hash(*columns) -> Column:

@@ -11,8 +11,10 @@ from aislemap.llm.exact_dedup import exact_dedup
 from aislemap.llm.license_scan import BASE, COVERAGE, NEAR, NOTICES, scan_licenses
 from aislemap.llm.mixing import count_words, mix
 from aislemap.llm.near_dedup import near_duplicates
+from aislemap.llm.quality import quality
 from aislemap.llm.repeats import repeated_spans
 from aislemap.llm.sharding import SEED, SHARDS, interleave
+from aislemap.llm.toxicity import toxicity
 from aislemap.session import materialise
 
 QUERIES: dict[str, tuple] = {}
@@ -41,6 +43,12 @@ def op2_repeated_spans(spark, sf_dir):
     return repeated_spans(documents(spark, sf_dir)).drop("spans")
 
 
+@query("op3_toxicity")
+def op3_toxicity(spark, sf_dir):
+    scored = toxicity(documents(spark, sf_dir).select("doc_id", "text"), documents(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 @query("op4_license_scan", sql.license_scan(BASE, NOTICES, NEAR, COVERAGE))
 def op4_license_scan(spark, sf_dir):
     return scan_licenses(documents(spark, sf_dir)).drop("spans")
@@ -68,6 +76,12 @@ def op7_benchmark_decontamination(spark, sf_dir):
     )
 
 
+@query("op9_quality")
+def op9_quality(spark, sf_dir):
+    scored = quality(documents(spark, sf_dir).select("doc_id", "text"), documents(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 @query("op10_exact_dedup", sql.EXACT_DEDUP)
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(documents(spark, sf_dir))
