@@ -31,7 +31,8 @@ def heavy_hashes(digests: DataFrame, share: int = HEAVY_SHARE) -> DataFrame:
     parts = digests.groupBy((F.spark_partition_id() % SKETCH_GROUPS).alias("part")).agg(
         F.expr(f"approx_top_k_accumulate(hash, {TRACKED})").alias("sketch"), F.count("*").alias("rows")
     )
-    found = parts.agg(
+    # one group, but a grouped aggregate: the sketch functions fail on parts without rows
+    found = parts.groupBy(F.floor(F.col("part") / SKETCH_GROUPS).alias("all")).agg(
         F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {TRACKED}), {2 * share})").alias("top"), F.sum("rows").alias("rows")
     )
     top = found.select("rows", F.explode("top").alias("item"))
