@@ -8,6 +8,7 @@ from aislemap.llm import sql
 from aislemap.llm.common import documents
 from aislemap.llm.decontaminate import WINDOW as ITEM_WINDOW, decontaminate
 from aislemap.llm.exact_dedup import exact_dedup
+from aislemap.llm.html_extract import extract_text, fit_extractor
 from aislemap.llm.license_scan import BASE, COVERAGE, NEAR, NOTICES, scan_licenses
 from aislemap.llm.mixing import count_words, mix
 from aislemap.llm.near_dedup import near_duplicates
@@ -76,6 +77,13 @@ def op7_benchmark_decontamination(spark, sf_dir):
     )
 
 
+@query("op8_main_text")
+def op8_main_text(spark, sf_dir):
+    pages = documents(spark, sf_dir, "pages")
+    text = extract_text(pages.select("page_id", "url", "html"), fit_extractor(pages))
+    return text.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 @query("op9_quality")
 def op9_quality(spark, sf_dir):
     scored = quality(documents(spark, sf_dir).select("doc_id", "text"), documents(spark, sf_dir, "labels"))
