@@ -48,6 +48,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+# The shuffle files behind a written table are of no more use; without this they stay until the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the checkpoint folder and read it from there.
 
@@ -55,7 +59,13 @@ def materialise(df: DataFrame) -> DataFrame:
     the plan that made it, so loops keep short plans and joins see real sizes.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
