@@ -27,7 +27,3 @@ def log_gamma(x: Column) -> Column:
 
 def log_factorial(n: Column) -> Column:
     return log_gamma(n + 1)
-
-
-def xlogx(p: Column) -> Column:
-    return F.when(p > 0, p * F.log(p)).otherwise(0.0)

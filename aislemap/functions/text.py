@@ -1,7 +1,8 @@
 """Product text normalisation as column expressions.
 
-Every pattern carries ``(?U)`` so that word characters, digits, spaces and word
-boundaries follow Unicode, which keeps Lithuanian letters intact.
+Every pattern carries ``(?U)`` so that digits and spaces follow Unicode. Word characters
+are letters, numbers of any kind and the underscore, as in Python: ``²`` and ``½`` are word
+characters, combining marks are not.
 """
 
 from __future__ import annotations
@@ -32,6 +33,14 @@ TERM_REWRITES = [
 DESCRIPTION_SNIPPET = 200
 DESCRIPTION_MINIMUM = 10
 
+# Size patterns.
+INCH_UNIT = r'\s*(?:inch|in|")'
+INCHES, INCHES_DECIMAL = r"(\d+)" + INCH_UNIT, r"(\d+)[.,](\d+)" + INCH_UNIT
+DIMENSIONS = r"(\d+)[xX×](\d+)(?:[xX×](\d+))?"
+PUNCTUATION = r"[^\p{L}\p{N}_\s-]"
+
+_WORD = r"[\p{L}\p{N}_]"
+
 # Storage size classes as digit patterns (over 128, over 32, the rest).
 _OVER_128 = r"0*(?:129|1[3-9][0-9]|[2-9][0-9]{2}|[1-9][0-9]{3,})"
 _OVER_32 = r"0*(?:3[3-9]|[4-9][0-9]|1[01][0-9]|12[0-8])"
@@ -47,12 +56,12 @@ def _sub(text: Column, pattern: str, replacement: str) -> Column:
 
 
 def _whole_words(words) -> str:
-    return r"\b(?:" + "|".join(words) + r")\b"
+    return f"(?<!{_WORD})(?:{'|'.join(words)})(?!{_WORD})"
 
 
 def strip_punct_squeeze(c) -> Column:
     """Everything but word characters, spaces and hyphens becomes a space; runs shrink to one."""
-    spaced = _sub(_col(c), r"[^\w\s-]", " ")
+    spaced = _sub(_col(c), PUNCTUATION, " ")
     return F.trim(_sub(spaced, r"\s+", " "))
 
 
@@ -67,13 +76,11 @@ def tag_language(c) -> Column:
 
 
 def norm_inches(c) -> Column:
-    unit = r'\s*(?:inch|in|")'
-    return _sub(_sub(_col(c), r"(\d+)" + unit, "$1in"), r"(\d+)[.,](\d+)" + unit, "$1_$2in")
+    return _sub(_sub(_col(c), INCHES, "$1in"), INCHES_DECIMAL, "$1_$2in")
 
 
 def norm_dimensions(c) -> Column:
-    by = "[xX×]"
-    return _sub(_col(c), rf"(\d+){by}(\d+)(?:{by}(\d+))?", "dim_$1_$2$3")
+    return _sub(_col(c), DIMENSIONS, "dim_$1_$2$3")
 
 
 def norm_storage(c) -> Column:
@@ -93,7 +100,7 @@ def remove_stopwords_by_lang(c, lang: Column) -> Column:
 
 
 def norm_terms(c) -> Column:
-    return reduce(lambda text, rule: _sub(text, rf"\b(?:{rule[0]})\b", rule[1]), TERM_REWRITES, _col(c))
+    return reduce(lambda text, rule: _sub(text, _whole_words([rule[0]]), rule[1]), TERM_REWRITES, _col(c))
 
 
 def robust_preprocess(c) -> Column:
@@ -118,7 +125,7 @@ def text_features(title="title", seller="seller", price="price", description="de
 
 def tokenize(c) -> Column:
     """Lower-case runs of two or more word characters."""
-    return F.regexp_extract_all(F.lower(F.coalesce(_col(c), F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.coalesce(_col(c), F.lit(""))), F.lit(_WORD + "{2,}"), F.lit(0))
 
 
 def remove_stopwords(tokens, words) -> Column:

@@ -24,7 +24,7 @@ def contingency(df: DataFrame, u: str, v: str, by: Sequence[str] = ()) -> DataFr
 
 
 def _keys(cells: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """A constant key stands in when there is nothing to group by, so that joins stay equi-joins."""
+    """A constant key stands in when there is nothing to group by; the joined sides then have one row."""
     return (cells, list(by)) if by else (cells.withColumn(_ALL, F.lit(0)), [_ALL])
 
 
@@ -130,5 +130,5 @@ def division_recovery(df: DataFrame, truth: str = "division", cluster: str = "cl
     }
     return scores.select(
         *[F.when(~bad, F.col(src)).alias(out) for out, src in named.items()],
-        F.when(bad, "Too many noise points for meaningful evaluation").alias("warning"),
+        F.when(bad, "not scored: most rows are noise").alias("warning"),
     )

@@ -15,12 +15,12 @@ from aislemap.operators.clean import text_lengths
 from aislemap.operators.describe import cluster_centroids, crosstab_long, sample_key, top_n
 from aislemap.operators.partition import contingency, partition_scores
 from aislemap.operators.quantiles import exact_median
-from aislemap.session import small_side
+from aislemap.session import materialise, small_side
 
 _ALL = "_all"
 
-# Above the first row count the silhouette is measured on a sample of the second.
-SILHOUETTE_ROWS, SILHOUETTE_SAMPLE = 10000, 5000
+# Silhouettes compare blocks of about this many rows.
+SILHOUETTE_BLOCK = 4096
 
 
 def _keyed(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -208,52 +208,61 @@ def davies_bouldin(df: DataFrame, vec: str = "vec", cluster: str = "cluster") ->
     return centers.select(worst.alias("w")).agg(F.avg("w").alias("davies_bouldin"))
 
 
-def silhouette_rows(df: DataFrame, vec: str = "vec", cluster: str = "cluster", id_col: str = "listing_id") -> DataFrame:
-    """(id, cluster, silhouette) by plain Euclidean distance to every row, for at most 10000 rows.
+def silhouette_rows(
+    df: DataFrame, vec: str = "vec", cluster: str = "cluster", id_col: str = "listing_id", scored: DataFrame | None = None
+) -> DataFrame:
+    """(id, cluster, silhouette) by plain Euclidean distance to every row.
 
-    Each task holds the whole (bounded) table as one matrix and reduces the
-    distances of its own rows to one mean per cluster, so no pairs leave a task.
+    Rows are packed into blocks of bounded size, and every block of scored rows meets every
+    block once. A task holds two blocks and hands on one sum of distances per row and cluster.
+    ``scored`` limits the rows that get a value (by id), never the rows they are compared with.
     """
-    spark = df.sparkSession
-    rows = df.select(F.col(id_col).alias("i"), F.col(cluster).alias("k"), F.col(vec).alias("x")).limit(SILHOUETTE_ROWS + 1).toPandas()
-    if len(rows) > SILHOUETTE_ROWS:
-        raise ValueError(f"more than {SILHOUETTE_ROWS} rows: take a sample first")
-    labels, code = np.unique(rows["k"].to_numpy(), return_inverse=True)
-    points = np.array(rows["x"].tolist(), dtype=float)
-    shared = spark.sparkContext.broadcast((points, rows["i"].to_numpy(), code, len(labels)))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        points, ids, code, k = shared.value
-        member = np.zeros((len(points), k))
-        member[np.arange(len(points)), code] = 1.0
-        sizes = member.sum(axis=0)
-        order = np.argsort(ids)
-        norms = (points**2).sum(axis=1)
+    points = materialise(df.select(F.col(id_col).alias("i"), F.col(cluster).alias("k"), F.col(vec).alias("x")))
+    blocks = max(1, -(-points.count() // SILHOUETTE_BLOCK))
+    sizes = {r["k"]: r["n"] for r in points.groupBy("k").agg(F.count("*").alias("n")).collect()}
+    names = sorted(sizes)
+    shared = df.sparkSession.sparkContext.broadcast(names)
+    own = points if scored is None else points.join(scored.select(F.col(id_col).alias("i")), "i", "left_semi")
+
+    def packed(rows: DataFrame) -> DataFrame:
+        block = F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int").alias("block")
+        return rows.groupBy(block).agg(*[F.collect_list(c).alias(c) for c in ("i", "k", "x")])
+
+    left = packed(own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).drop("block")
+    right = packed(points).select(F.col("block").alias("other"), F.col("i").alias("i2"), F.col("k").alias("k2"), F.col("x").alias("x2"))
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = np.array(shared.value)
         for pdf in batches:
-            for start in range(0, len(pdf), 512):
-                part = pdf.iloc[start : start + 512]
-                x = np.array(part["x"].tolist(), dtype=float)
-                me = order[np.searchsorted(ids, part["i"].to_numpy(), sorter=order)]
-                d2 = (x**2).sum(axis=1)[:, None] + norms[None, :] - 2 * x @ points.T
-                # the expansion loses digits for near copies: those are measured directly
-                r, c = np.nonzero(d2 < 1e-6 * (norms[me][:, None] + norms[None, :]))
-                d2[r, c] = ((x[r] - points[c]) ** 2).sum(axis=1)
-                sums = np.sqrt(np.maximum(d2, 0)) @ member
-                row = np.arange(len(part))
-                own = code[me]
-                own_size = sizes[own]
-                a = sums[row, own] / np.maximum(own_size - 1, 1)
-                means = sums / sizes[None, :]
-                means[row, own] = np.inf
-                b = means.min(axis=1)
-                top = np.maximum(a, b)
-                s = np.where((own_size > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)
-                yield pd.DataFrame({"i": part["i"].to_numpy(), "k": part["k"].to_numpy(), "silhouette": s})
-
-    frame = df.select(F.col(id_col).alias("i"), F.col(cluster).alias("k"), F.col(vec).alias("x"))
-    kind = frame.schema["k"].dataType.simpleString()
-    scored = frame.mapInPandas(score, f"i {frame.schema['i'].dataType.simpleString()}, k {kind}, silhouette double")
-    return scored.select(F.col("i").alias(id_col), F.col("k").alias(cluster), "silhouette")
+            for row in pdf.to_dict("records"):
+                x, y = np.stack(row["x"]), np.stack(row["x2"])
+                ids, others = np.asarray(row["i"]), np.asarray(row["i2"])
+                member = np.zeros((len(y), len(names)))
+                member[np.arange(len(y)), np.searchsorted(names, row["k2"])] = 1.0
+                norms = (y**2).sum(axis=1)
+                for start in range(0, len(x), 512):
+                    part = x[start : start + 512]
+                    mine = (part**2).sum(axis=1)
+                    d2 = mine[:, None] + norms[None, :] - 2 * part @ y.T
+                    # the expansion loses digits for near copies: those are measured directly
+                    r, c = np.nonzero(d2 < 1e-6 * (mine[:, None] + norms[None, :]))
+                    d2[r, c] = ((part[r] - y[c]) ** 2).sum(axis=1)
+                    d2[ids[start : start + 512][:, None] == others[None, :]] = 0.0
+                    total = np.sqrt(np.maximum(d2, 0)) @ member
+                    yield pd.DataFrame({"i": ids[start : start + 512], "k": np.asarray(row["k"])[start : start + 512], "s": list(total)})
+
+    schema = f"i {points.schema['i'].dataType.simpleString()}, k {points.schema['k'].dataType.simpleString()}, s array<double>"
+    pairs = left.join(right, "other").mapInPandas(sums, schema)
+    total = pairs.groupBy("i", "k").agg(Summarizer.sum(array_to_vector("s")).alias("s")).withColumn("s", vector_to_array("s"))
+    at = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("k")).cast("int")
+    counts = F.array(*[F.lit(float(sizes[n])) for n in names])
+    total = total.withColumn("at", at).withColumn("n", F.element_at(counts, F.col("at")))
+    total = total.withColumn("a", F.element_at("s", F.col("at")) / F.greatest(F.col("n") - 1, F.lit(1.0)))
+    means = F.zip_with("s", counts, lambda d, n: d / n)
+    others = F.filter(means, lambda m, i: i + 1 != F.col("at"))
+    total = total.withColumn("b", F.array_min(others)).withColumn("top", F.greatest("a", "b"))
+    value = F.when((F.col("n") > 1) & (F.col("top") > 0), (F.col("b") - F.col("a")) / F.col("top")).otherwise(0.0)
+    return total.select(F.col("i").alias(id_col), F.col("k").alias(cluster), value.alias("silhouette"))
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 42, id_col: str = "listing_id") -> DataFrame:
@@ -262,11 +271,12 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42, id_col: str = "listing_id
     return df.join(F.broadcast(picked), id_col, "left_semi")
 
 
-def silhouette(df: DataFrame, vec: str = "vec", cluster: str = "cluster", id_col: str = "listing_id", seed: int = 42) -> DataFrame:
-    """Mean silhouette, on a seeded sample when the table is large."""
-    if df.select(id_col).limit(SILHOUETTE_ROWS + 1).count() > SILHOUETTE_ROWS:
-        df = sample_rows(df, SILHOUETTE_SAMPLE, seed, id_col)
-    return silhouette_rows(df, vec, cluster, id_col).agg(F.avg("silhouette").alias("silhouette_score"))
+def silhouette(
+    df: DataFrame, vec: str = "vec", cluster: str = "cluster", id_col: str = "listing_id", seed: int = 42, sample: int | None = None
+) -> DataFrame:
+    """Mean silhouette of all rows, or of a seeded ``sample`` of them compared with all rows."""
+    scored = sample_rows(df, sample, seed, id_col) if sample else None
+    return silhouette_rows(df, vec, cluster, id_col, scored).agg(F.avg("silhouette").alias("silhouette_score"))
 
 
 def silhouette_fast(df: DataFrame, vec: str = "vec", cluster: str = "cluster") -> float:

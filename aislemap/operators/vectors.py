@@ -117,7 +117,6 @@ def zoom_bounds(df: DataFrame, cluster: str = "cluster", min_points: int = 10) -
 # exact, and only the best partners of each point leave a task.
 
 BLOCK_ROWS = 1024
-MAX_PIVOTS = 1024
 
 
 @dataclass
@@ -131,11 +130,11 @@ def make_blocks(df: DataFrame, id_col: str = "id", vec: str = "vec", block_rows:
     """Assign every point to its nearest pivot and cut each cell into blocks of about ``block_rows``.
 
     Pivots are points drawn in hash order, so dense regions get many of them and
-    no cell grows with the data's skew.
+    no cell grows with the data's skew. Their number grows with the root of the rows.
     """
     spark = df.sparkSession
     n = df.count()
-    m = int(max(1, min(MAX_PIVOTS, n // block_rows, np.sqrt(n))))
+    m = int(max(1, min(n // block_rows, np.sqrt(n))))
     chosen = sample_rows(df.select(id_col, vec), m, 7, id_col).toPandas()
     pivots = np.array(chosen[vec].tolist(), dtype=float).reshape(len(chosen), -1)
     shared = spark.sparkContext.broadcast(pivots)

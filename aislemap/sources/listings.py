@@ -4,19 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-# Raw listing columns arrive as text; typing them is the job of the cleaning step.
-LISTING_SCHEMA = T.StructType(
-    [
-        T.StructField("title", T.StringType()),
-        T.StructField("description", T.StringType()),
-        T.StructField("price", T.StringType()),
-        T.StructField("seller", T.StringType()),
-        T.StructField("division", T.StringType()),
-        T.StructField("category", T.StringType()),
-        T.StructField("subcategory", T.StringType()),
-    ]
-)
-
 REQUIRED_FIELDS = ("title", "division", "subcategory", "description", "price", "seller")
 
 
@@ -35,14 +22,17 @@ def read_listings(spark: SparkSession, path: str, schema: T.StructType | None =
 
     Columns are matched by header name: the header row decides which columns exist,
     so a file without ``subcategory`` or with extra columns reads correctly. All
-    columns are text. The id is unique but not consecutive; write the table
-    once (``write_listings``) before using the id as a join key.
+    columns are text. A ``listing_id`` in the file is kept. Otherwise rows are
+    numbered in the order of the scan, unique but not consecutive; write the table once
+    (``write_listings``) before using such an id as a join key.
     """
     reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
     reader = reader.option("multiLine", True).option("inferSchema", False)
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.csv(path).withColumn("listing_id", F.monotonically_increasing_id())
+    df = reader.csv(path)
+    given = F.col("listing_id").cast("bigint") if "listing_id" in df.columns else F.monotonically_increasing_id()
+    return df.withColumn("listing_id", given)
 
 
 def write_listings(df: DataFrame, path: str) -> None:

@@ -115,6 +115,7 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PHRASES = [
     "Brand new", "genuine leather", "water resistant", "Dėklas ir dangtis", "cover for the phone", "su bevielis krovikliu",
     "professional silicon shell", "AUTHENTIC waterproof", "telefonui, 10 centimeters!", "kabelis - 5 mm", "cordless drill by hand",
+    "25 m² box, 5½ in, 10³ pcs", "cafe\u0301 with Dangtis\u0328 of x_y",
 ]
 _MEASURES = [" inch", "x20x30", " gb", "tb", "X7", '.5 inches', " mb ssd"]
 

@@ -47,14 +47,12 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/round-trip-{name}-{uuid.uuid4().hex}"
 
 
-@query("s1_read_listings", with_(RAW) + """SELECT title, md5(description) AS description_md5, price, seller, division, category, subcategory
-FROM raw WHERE subcategory IS NOT NULL AND price IS NOT NULL AND seller IS NOT NULL""")
+@query("s1_read_listings", with_(RAW) + "SELECT listing_id, title, md5(description) AS description_md5, price, seller, division, category, subcategory FROM raw")
 def s1(spark, sf_dir):
     path = _scratch(spark, "csv")
-    full = raw(spark, sf_dir, True).where("subcategory is not null and price is not null and seller is not null")
-    full.drop("listing_id", "cluster").write.option("header", True).option("escape", '"').csv(path)
+    raw(spark, sf_dir, True).drop("cluster").write.option("header", True).option("escape", '"').csv(path)
     df = io.read_listings(spark, path)
-    return df.select("title", F.md5("description").alias("description_md5"), "price", "seller", "division", "category", "subcategory")
+    return df.select("listing_id", "title", F.md5("description").alias("description_md5"), "price", "seller", "division", "category", "subcategory")
 
 
 @query("s2_read_assignments", with_(CLEAN_SHORT) + "SELECT cluster, count(*) AS n, round(sum(price), 4) AS total FROM clean GROUP BY 1")

@@ -52,9 +52,8 @@ def r5_cosine(spark, sf_dir):
 
 @query("r1_truncated_svd")
 def r1(spark, sf_dir):
-    rows, _ = features.feature_vectors(products(spark, sf_dir), description={"ngram": (1, 1), "min_df": 10, "max_features": 20000})
-    reduced = vx.truncated_svd(rows, 20)
-    return reduced.vectors.select("listing_id", F.size("vec").alias("dims"))
+    rows, _ = features.feature_vectors(products(spark, sf_dir))
+    return vx.truncated_svd(rows).vectors
 
 
 @query("r6_project_2d")
@@ -83,12 +82,12 @@ def c3(spark, sf_dir):
 
 @query("c1_kmeans")
 def c1(spark, sf_dir):
-    return kmeans.kmeans(vectors(spark, sf_dir), 10, restarts=2, max_iter=20).select("listing_id", "cluster")
+    return kmeans.kmeans(vectors(spark, sf_dir), 10).select("listing_id", "cluster")
 
 
 @query("c2_kmeans_fast")
 def c2(spark, sf_dir):
-    return kmeans.kmeans_fast(vectors(spark, sf_dir), 10, restarts=1).select("listing_id", "cluster")
+    return kmeans.kmeans_fast(vectors(spark, sf_dir), 10).select("listing_id", "cluster")
 
 
 @query("c5_sweep_k")
@@ -169,7 +168,7 @@ def c8(spark, sf_dir):
 
 @query("c13_topic_model")
 def c13(spark, sf_dir):
-    rows, _ = topics.topic_model(products(spark, sf_dir).select("listing_id", "title"), "title", 20, 8)
+    rows, _ = topics.topic_model(products(spark, sf_dir).select("listing_id", "title"), "title")
     return rows.select("listing_id", "cluster", F.round("probability", 6).alias("probability"))
 
 

@@ -25,7 +25,7 @@ def per_value(long, key: str, value: str):
 # ---- SQL versions of the rules: RE2 has no Unicode classes for \w and no look-behind,
 # so word characters are spelled out and neighbours are captured and put back; two
 # passes cover neighbours shared by adjoining matches.
-W = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
+W = r"\p{L}\p{N}_"
 
 
 def _list_sql(options: list[str]) -> str:
@@ -50,11 +50,11 @@ def squeeze(text: str) -> str:
 
 
 def inches(t: str) -> str:
-    return sub(sub(t, r'(\d+)\s*(?:inch|in|")', r"\1in"), r'(\d+)[.,](\d+)\s*(?:inch|in|")', r"\1_\2in")
+    return sub(sub(t, tx.INCHES, r"\1in"), tx.INCHES_DECIMAL, r"\1_\2in")
 
 
 def dims(t: str) -> str:
-    return sub(t, r"(\d+)[xX×](\d+)(?:[xX×](\d+))?", r"dim_\1_\2\3")
+    return sub(t, tx.DIMENSIONS, r"dim_\1_\2\3")
 
 
 def storage(t: str) -> str:
@@ -209,14 +209,14 @@ def e6(spark, sf_dir):
 
 @query("t18_embed_text")
 def t18(spark, sf_dir):
-    df = features.embed_text(cleaned(spark, sf_dir).select("listing_id", "title"), "title", dims=8)
-    return df.select("listing_id", F.size("vec").alias("dims"))
+    return features.embed_text(cleaned(spark, sf_dir).select("listing_id", "title"), "title")
 
 
-@query("t19_topic_words", with_(f"toks AS (SELECT ascii(lang) * 1000 + CAST(replace(source, 'src', '') AS INTEGER) AS cluster, unnest(regexp_extract_all(lower(text), '[{W}]{{2,}}')) AS term FROM documents)") + """,
+@query("t19_topic_words", with_(f"toks AS (SELECT ascii(lang) * 1000 + CAST(replace(source, 'src', '') AS INTEGER) - CASE WHEN source = 'src3' THEN ascii(lang) * 1000 + 4 ELSE 0 END AS cluster, unnest(regexp_extract_all(lower(text), '[{W}]{{2,}}')) AS term FROM documents)") + """,
 c AS (SELECT cluster, term, count(*) AS tf FROM toks GROUP BY 1, 2), w AS (SELECT cluster, sum(tf) AS words FROM c GROUP BY 1), f AS (SELECT term, sum(tf) AS f FROM c GROUP BY 1),
 s AS (SELECT cluster, term, round(CAST(tf AS DOUBLE) / words * ln(1 + (SELECT avg(words) FROM w) / f), 9) AS weight FROM c JOIN w USING (cluster) JOIN f USING (term))
-SELECT cluster, term, round(weight, 6) AS weight, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY cluster ORDER BY weight DESC, term) AS INTEGER) AS rank FROM s) WHERE rank <= 10""")
+SELECT cluster, term, round(weight, 6) AS weight, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY cluster ORDER BY weight DESC, term) AS INTEGER) AS rank FROM s) WHERE rank <= 10 AND cluster <> -1""")
 def t19(spark, sf_dir):
-    topic = F.ascii("division") * 1000 + F.regexp_replace("seller", "src", "").cast("int")
+    # one source stands for the outliers
+    topic = F.when(F.col("seller") == "src3", F.lit(-1)).otherwise(F.ascii("division") * 1000 + F.regexp_replace("seller", "src", "").cast("int"))
     return rounded(features.topic_words(texts(spark, sf_dir).withColumn("cluster", topic), "text"))

@@ -77,3 +77,16 @@ def test_exact_quantiles(spark, by):
     for r in exact_quantiles(df, "v", probs, by).collect():
         part = v[g == r["g"]] if by else v
         assert np.allclose([r[f"q{i}"] for i in range(len(probs))], np.quantile(part, probs), rtol=1e-12)
+
+
+def test_word_characters_as_in_python(spark):
+    import re
+
+    texts = ["25 m² box, 5½ in, 10³ pcs", "café dėklas_x brand-new", "Ⅷ the²end the", "naïve—x٣y"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = df.select("t", text.tokenize("t").alias("tokens"), text.basic_preprocess("t").alias("plain"), text.remove_stopwords_by_lang(F.col("t"), F.lit("en")).alias("kept")).collect()
+    for r in rows:
+        low = r["t"].lower()
+        assert r["tokens"] == re.findall(r"\b\w\w+\b", low)
+        assert r["plain"] == re.sub(r"\s+", " ", re.sub(r"[^\w\s-]", " ", low)).strip()
+        assert r["kept"] == re.sub(r"\b(?:" + "|".join(text.ENGLISH_STOPWORDS_SHORT) + r")\b", " ", r["t"])

@@ -80,7 +80,7 @@ def test_recommendations_and_report(spark, scored):
     assert got[("best method metrics", "silhouette_score")] == "0.3448"
     assert got[("best method metrics", "num_samples")] == "14152"
     assert got[("best method metrics", "cluster_density")] == "52.4148"
-    assert got[("methods", "kmeans")] == "TF-IDF features with K-Means clustering (175 clusters)"
+    assert got[("methods", "kmeans")] == "K-Means over weighted terms, sellers and prices (175 clusters)"
     assert "- **kmeans**: 16.06 points" in compare.report_markdown(rows)
 
 

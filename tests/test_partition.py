@@ -74,12 +74,27 @@ def test_silhouette_singletons_and_copies(spark):
     assert got == {1: 1.0, 2: 1.0, 3: 0.0}
 
 
-def test_silhouette_samples_large_tables(spark, monkeypatch):
-    monkeypatch.setattr(quality, "SILHOUETTE_ROWS", 40)
-    monkeypatch.setattr(quality, "SILHOUETTE_SAMPLE", 30)
+@pytest.mark.parametrize("block", [4096, 17])
+def test_silhouette_compares_all_rows_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(quality, "SILHOUETTE_BLOCK", block)
     rng = np.random.default_rng(0)
-    rows = [(i, i % 3, [float(i % 3) * 10 + rng.normal(), rng.normal()]) for i in range(60)]
-    df = spark.createDataFrame(rows, "listing_id bigint, cluster int, vec array<double>")
-    assert quality.silhouette(df).first()[0] > 0.5
-    with pytest.raises(ValueError):
-        quality.silhouette_rows(df)
+    x, k = rng.normal(size=(70, 3)) + (np.arange(70) % 3)[:, None], np.arange(70) % 3
+    k[0] = 9
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = []
+    for i in range(70):
+        means = {c: d[i, k == c].sum() / max((k == c).sum() - (c == k[i]), 1) for c in set(k)}
+        a, b = means.pop(k[i]), min(means.values())
+        want.append((b - a) / max(a, b) if (k == k[i]).sum() > 1 else 0.0)
+    df = spark.createDataFrame([(i, int(k[i]), x[i].tolist()) for i in range(70)], "listing_id bigint, cluster int, vec array<double>")
+    got = {r["listing_id"]: r["silhouette"] for r in quality.silhouette_rows(df).collect()}
+    assert np.allclose([got[i] for i in range(70)], want)
+    some = {r["listing_id"]: r["silhouette"] for r in quality.silhouette_rows(df, scored=df.where("listing_id < 20")).collect()}
+    assert some == pytest.approx({i: got[i] for i in range(20)})
+    assert quality.silhouette(df, sample=20).first()[0] is not None
+
+
+def test_silhouette_of_more_rows_than_the_old_limit(spark):
+    df = spark.range(10500).selectExpr("id as listing_id", "cast(id % 2 as int) as cluster", "array(cast(id % 2 as double) * 10, cast(id % 7 as double) / 10) as vec")
+    rows = quality.silhouette_rows(df)
+    assert rows.count() == 10500 and rows.agg({"silhouette": "min"}).first()[0] > 0.9
