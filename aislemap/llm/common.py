@@ -10,7 +10,6 @@ from operator import and_
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
@@ -42,21 +41,6 @@ def lower_words(text: bytes | None) -> list[bytes]:
     return text.translate(_LOWER).split() if text else []
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a number of words."""
-
-    limit = 1 << 20
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit numbers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -64,7 +48,55 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def rolling(hashes: np.ndarray, n: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+_BASE = 0x9E3779B97F4A7C15
+_PIECE = 1 << 16
+_SPACED = bytes.maketrans(SPACES.encode(), b" " * len(SPACES))
+
+
+class WordHasher:
+    """64-bit hashes of all words of a text from one running sum over its bytes.
+
+    ``lower`` hashes the words of ``lower_words``, otherwise those of ``space_words``. A
+    hash depends on the bytes of the word alone, wherever it stands.
+    """
+
+    def __init__(self, lower: bool):
+        self.table = _LOWER if lower else _SPACED
+        self._grow(_PIECE)
+
+    def _grow(self, size: int) -> None:
+        one = np.ones(1, np.uint64)
+        self.powers = np.concatenate([one, np.cumprod(np.full(size, _BASE, np.uint64))])
+        self.inverse = np.concatenate([one, np.cumprod(np.full(size, pow(_BASE, -1, 1 << 64), np.uint64))])
+
+    def __call__(self, text: bytes | None) -> np.ndarray:
+        if not text:
+            return np.empty(0, np.uint64)
+        text, parts, at = text.translate(self.table), [], 0
+        while len(text) - at > _PIECE:
+            cut = text.rfind(b" ", at, at + _PIECE)
+            cut = text.find(b" ", at + _PIECE) if cut < 0 else cut
+            if cut < 0:
+                break
+            parts.append(self._piece(text[at:cut]))
+            at = cut + 1
+        parts.append(self._piece(text[at:]))
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+    def _piece(self, text: bytes) -> np.ndarray:
+        if len(text) >= len(self.powers):
+            self._grow(2 * len(text))
+        raw = np.frombuffer(text, np.uint8)
+        inside = np.zeros(len(raw) + 2, bool)
+        np.not_equal(raw, 32, out=inside[1:-1])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(raw * self.powers[: len(raw)], out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def rolling(hashes: np.ndarray, n: int, base: int = _BASE) -> np.ndarray:
     """A hash of every run of ``n`` neighbouring words."""
     if len(hashes) < n:
         return np.empty(0, np.uint64)

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from aislemap.llm.common import WordHashes, binary, held_out, labelled, rolling, space_words
+from aislemap.llm.common import WordHasher, binary, held_out, labelled, rolling, space_words
 from aislemap.llm.trees import boost, sigmoid
 
 # Labelled rows that the fit may see, chosen by a hash of the id.
@@ -54,7 +54,7 @@ def _repeated_nearby(hashes: np.ndarray, block: int = 64) -> float:
     return float((blocks[:, 1:] == blocks[:, :-1]).sum(axis=1).mean() / block)
 
 
-def statistics(text: bytes | None, known: WordHashes) -> list[float]:
+def statistics(text: bytes | None, hasher: WordHasher) -> list[float]:
     """The STATISTICS of a whole text; null and empty texts have zeros."""
     words = space_words(text)
     if not words:
@@ -63,7 +63,7 @@ def statistics(text: bytes | None, known: WordHashes) -> list[float]:
     size, n = len(text), len(words)
     chars = int(size - counts[128:192].sum())
     letters = int(counts[_LETTER].sum() + counts[192:].sum())
-    hashes = known.of(words)
+    hashes = hasher(text)
     _, times = np.unique(hashes, return_counts=True)
     lengths = np.fromiter(map(len, words), np.int64, n)
     lines = [x for x in text.split(b"\n") if x]
@@ -79,8 +79,8 @@ def statistics(text: bytes | None, known: WordHashes) -> list[float]:
 
 
 def _measure(texts: pa.Array) -> pa.Array:
-    known = WordHashes()
-    rows = np.array([statistics(t, known) for t in binary(texts)]).reshape(len(texts), len(STATISTICS))
+    hasher = WordHasher(lower=False)
+    rows = np.array([statistics(t, hasher) for t in binary(texts)]).reshape(len(texts), len(STATISTICS))
     return pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(STATISTICS))], names=STATISTICS)
 
 

@@ -41,7 +41,7 @@ def op1_interleaved_shards(spark, sf_dir):
 
 @query("op2_repeated_spans")
 def op2_repeated_spans(spark, sf_dir):
-    return repeated_spans(documents(spark, sf_dir)).drop("spans")
+    return repeated_spans(documents(spark, sf_dir))
 
 
 @query("op3_toxicity")

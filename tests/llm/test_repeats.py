@@ -52,14 +52,14 @@ def test_matches_all_windows(make, vocabulary):
     rows = corpus(vocabulary, 120, vocabulary, 6)
     rows += [(900, None), (901, ""), (902, "x " * 200), (903, "a b " * 50), (None, rows[3][1]), (904, "é " * 34)]
     rows += [rows[5], (905, "long " + " ".join(str(i) for i in range(30000))), (906, " ".join(str(i) for i in range(1000, 29000)))]
-    got = [tuple(r) for r in repeated_spans(make(rows)).drop("spans").collect()]
+    got = [tuple(r) for r in repeated_spans(make(rows)).collect()]
     assert sorted(got, key=str) == expected(rows, 35)
 
 
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
-    got = [tuple(r) for r in repeated_spans(docs).drop("spans").collect()]
+    got = [tuple(r) for r in repeated_spans(docs).collect()]
     assert sorted(got, key=str) == expected(rows, 35)
 
 
