@@ -154,8 +154,7 @@ _DESC = vocab_sql("d", grams_sql("toks", 1, 5), 10, 20000)
 
 @query("t14_vocabulary", with_(_TOK, _DESC) + "SELECT term, df, total FROM d_vocab")
 def t14(spark, sf_dir):
-    counts = features.term_counts(texts(spark, sf_dir), features.terms_of("text", (1, 5)))
-    return features.vocabulary(counts, 10, 20000)
+    return features.frequent_terms(texts(spark, sf_dir), "text", (1, 5), 10, 20000)[0]
 
 
 @query("t15_tfidf", with_(_TOK, _DESC, tfidf_sql("d", "(SELECT count(*) FROM documents)")) + "SELECT term, count(*) AS n, round(sum(weight), 6) AS total, round(max(weight), 6) AS largest FROM d GROUP BY 1")
