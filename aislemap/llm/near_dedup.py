@@ -14,41 +14,44 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from aislemap.llm.common import WordHashes, binary, lower_words, mix, rolling
+from aislemap.llm.common import WordHasher, binary, mix, rolling
 from aislemap.llm.components import components
 from aislemap.session import materialise
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
-# A shingle in this share of the documents or less has the full weight; it falls from there to half at all documents.
-RARE = 0.01
+# A shingle in this share of the documents or less has the full weight, one plus STRENGTH; it falls from there to one
+# at all documents. A strong fall would make near copies of a text with thousands of copies look less alike than others.
+RARE, STRENGTH = 0.01, 0.25
 # Neighbours are paired in parts of about this many members, so that no bucket is ordered in one task.
 PART = 1000
 # Shingles whose documents are counted in one pass.
 COUNTED = 1 << 20
+# After the first pairs, members outside the largest class of a bucket meet so many of each other class, in so many turns.
+LATER, TURNS = 8, 2
 _CHUNK = 1 << 14
 
 
-def shingles(words: list[bytes], known: WordHashes, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the word runs of a text and how often each occurs; a shorter text is one run."""
-    if not words:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    hashes = known.of(words)
-    return np.unique(rolling(hashes, min(size, len(words))) + np.uint64(min(size, len(words))), return_counts=True)
+def shingles(hashes: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the word runs of a text, given its word hashes, and how often each occurs; a shorter text is one run."""
+    if not len(hashes):
+        return hashes, np.empty(0, np.int64)
+    size = min(size, len(hashes))
+    return np.unique(rolling(hashes, size) + np.uint64(size), return_counts=True)
 
 
 class Weights:
-    """Term frequency times inverse document frequency, between 1 and 2 for a single occurrence."""
+    """Term frequency times inverse document frequency, between 1 and 1 + STRENGTH for a single occurrence."""
 
     def __init__(self, frequent: list[tuple[int, int]], documents: int, rare: float):
         pairs = sorted((h & ((1 << 64) - 1), n) for h, n in frequent)
         self.hashes = np.array([h for h, _ in pairs], np.uint64)
         share = np.array([n for _, n in pairs], float) / max(documents, 1)
-        self.idf = 1 + np.log(1 / np.clip(share, rare, 1)) / np.log(1 / rare)
+        self.idf = 1 + STRENGTH * np.log(1 / np.clip(share, rare, 1)) / np.log(1 / rare)
 
     def of(self, found: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        idf = np.full(len(found), 2.0)
+        idf = np.full(len(found), 1.0 + STRENGTH)
         if len(self.hashes) and len(found):
             at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
             hit = self.hashes[at] == found
@@ -57,56 +60,84 @@ class Weights:
 
 
 class Sampler:
-    """Improved consistent weighted sampling: one (shingle, level) pair per function."""
+    """Improved consistent weighted sampling: one (shingle, level) pair per function.
+
+    Each shingle and function has a step r and a rank c, both Gamma(2, 1), and a phase. The
+    level is floor(ln(weight) / r + phase), and the shingle with the least
+    c * exp(-r * (level - phase) - r) is drawn.
+    """
 
     def __init__(self, functions: int):
-        self.a = mix(np.arange(1, functions + 1, dtype=np.uint64)) | np.uint64(1)
-
-    def _draws(self, found: np.ndarray, a: np.ndarray):
-        """Uniform numbers of each shingle and function: two for the step, two for the rank, one for the phase."""
-        z = found * a
-        z ^= z >> np.uint64(29)
-        z *= np.uint64(0xBF58476D1CE4E5B9)
-        z ^= z >> np.uint64(32)
-        y = z * np.uint64(0x94D049BB133111EB)
-        y ^= y >> np.uint64(31)
-        return z, y
+        odd = mix(np.arange(1, 2 * functions + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+        self.a, self.b = odd[:functions, None], odd[functions:, None]
+
+    def _draws(self, found: np.ndarray) -> list[np.ndarray]:
+        """Four 32-bit draws per function (row) and shingle (column): two for the step, two for the rank."""
+        x = (found & np.uint64(0xFFFFFFFF)).astype(np.uint32)[None, :] * self.a
+        x += (found >> np.uint64(32)).astype(np.uint32)[None, :] * self.b
+        out = []
+        for factor in (0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1):
+            x = x ^ (x >> np.uint32(15))
+            x *= np.uint32(factor)
+            out.append(x)
+        return out
 
     @staticmethod
-    def _product(z: np.ndarray) -> np.ndarray:
-        high, low = (z >> np.uint64(32)).astype(np.float64), (z & np.uint64(0xFFFFFFFF)).astype(np.float64)
-        return (high + 0.5) * (low + 0.5) * 2.0**-64
+    def _rough(x: np.ndarray) -> np.ndarray:
+        """Draws as single-precision numbers between 0 and 1."""
+        x = x >> np.uint32(9)
+        x |= np.uint32(0x3F800000)
+        out = x.view(np.float32)
+        out -= np.float32(1 - 2.0**-24)
+        return out
+
+    @staticmethod
+    def _rank(draws: list[np.ndarray], logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value by which the least is drawn, and the level."""
+        u = [((d >> np.uint32(9)).astype(np.float64) + 0.5) * 2.0**-23 for d in draws]
+        bits = mix((draws[1].astype(np.uint64) << np.uint64(32)) | draws[3].astype(np.uint64))
+        phase = (bits >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        r = -np.log(u[0] * u[1])
+        level = np.floor(logs / r + phase)
+        return -np.log(u[2] * u[3]) * np.exp(-r * (level - phase) - r), level
 
     def samples(self, found: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """A hash of the sample of every function."""
+        """A hash of the sample of every function, for shingles in ascending order."""
         functions = len(self.a)
         best, out = np.full(functions, np.inf), np.zeros(functions, np.uint64)
         for start in range(0, len(found), _CHUNK):
-            part, logs = found[start : start + _CHUNK], np.log(weights[start : start + _CHUNK])
-            z, y = self._draws(part[None, :], self.a[:, None])
-            step, rank = self._product(z), self._product(y)
-            # the rank of a sample is at least this, which spares the logarithms of nearly all
-            bound = (1 - rank) * step * np.exp(-logs)[None, :]
-            first = bound.argmin(axis=1)
-            rows = np.arange(functions)
-            limit = np.minimum(self._rank(step[rows, first], rank[rows, first], y[rows, first], logs[first])[0], best)
-            row, col = np.nonzero(bound <= limit[:, None] * (1 + 1e-9))
-            value, level = self._rank(step[row, col], rank[row, col], y[row, col], logs[col])
-            order = np.lexsort((part[col], value, row))
-            row, col, value, level = row[order], col[order], value[order], level[order]
-            lead = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.empty(0, np.int64)
-            lead = lead[value[lead] < best[row[lead]]]
-            best[row[lead]] = value[lead]
-            out[row[lead]] = mix(part[col[lead]] + mix(level[lead].astype(np.int64).view(np.uint64)))
+            part, weight = found[start : start + _CHUNK], weights[start : start + _CHUNK]
+            logs, draws = np.log(weight), self._draws(part)
+            # the value is at least (1 - v1 v2) u1 u2 / weight, which spares the logarithms of nearly all
+            bound = self._rough(draws[2])
+            bound *= self._rough(draws[3])
+            np.subtract(np.float32(1 + 1e-6), bound, out=bound)
+            bound *= self._rough(draws[0])
+            bound *= self._rough(draws[1])
+            bound *= (1 / weight).astype(np.float32)[None, :]
+            # values are exponential with the weight as rate, so the least is rarely above this; else all bounds below the least count
+            rows, limit = np.arange(functions), np.minimum(best, 3 / weight.sum())
+            for again in (False, True):
+                row, col = np.nonzero(bound[rows] <= (limit[rows] * 1.00001).astype(np.float32)[:, None])
+                if len(row):
+                    at = rows[row]
+                    value, level = self._rank([d[at, col] for d in draws], logs[col])
+                    heads = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                    least = np.minimum.reduceat(value, heads)
+                    hit = np.flatnonzero(value == np.repeat(least, np.diff(np.append(heads, len(row)))))
+                    hit = hit[np.concatenate([[True], row[hit][1:] != row[hit][:-1]])]
+                    hit = hit[value[hit] < best[at[hit]]]
+                    best[at[hit]] = value[hit]
+                    out[at[hit]] = mix(part[col[hit]] + mix(level[hit].astype(np.int64).view(np.uint64)))
+                rows = np.flatnonzero(best > limit)
+                if again or not len(rows):
+                    break
+                limit = best.copy()
+                open_ = rows[~np.isfinite(best[rows])]
+                first = bound[open_].argmin(axis=1)
+                limit[open_] = self._rank([d[open_, first] for d in draws], logs[first])[0]
         return out
 
-    @staticmethod
-    def _rank(step: np.ndarray, rank: np.ndarray, y: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        phase = (mix(y) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        r = -np.log(step)
-        level = np.floor(logs / r + phase)
-        return -np.log(rank) * np.exp(-r * (level - phase) - r), level
-
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Sum of the smaller weights over the sum of the larger; two empty texts are alike."""
@@ -120,10 +151,10 @@ def _documents_of(docs: DataFrame, wanted, floor: float, size: int) -> DataFrame
     """(hash, documents) per block of documents: shingles in a share ``floor`` of the block, or the wanted ones."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        hasher = WordHasher(lower=True)
         for part in parts:
             texts = binary(part.column(0))
-            found = [shingles(lower_words(t), known, size)[0] for t in texts]
+            found = [shingles(hasher(t), size)[0] for t in texts]
             hashes, counts = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_counts=True)
             if wanted is None:
                 keep = counts >= max(1.0, floor * len(texts))
@@ -163,14 +194,14 @@ def _sampled(base: DataFrame, weights, bands: int, rows: int, size: int) -> Data
     """Every document with the digest of its words (``node``) and its band keys."""
 
     def draw(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sampler = WordHashes(), Sampler(bands * rows)
+        hasher, sampler = WordHasher(lower=True), Sampler(bands * rows)
         salt = mix(np.arange(bands, dtype=np.uint64) + np.uint64(1))
         for part in parts:
             nodes, keys = [], []
             for raw in binary(part.column(3)):
-                words = lower_words(raw)
-                nodes.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
-                found, counts = shingles(words, known, size)
+                words = hasher(raw)
+                nodes.append(xxhash.xxh3_128_hexdigest(words.tobytes()))
+                found, counts = shingles(words, size)
                 if not len(found):
                     keys.append([])
                     continue
@@ -185,29 +216,51 @@ def _sampled(base: DataFrame, weights, bands: int, rows: int, size: int) -> Data
     return base.mapInArrow(draw, "doc_id string, row long, text_hash long, node string, bands array<long>")
 
 
-def _neighbours(members: DataFrame, order) -> DataFrame:
-    """Candidate pairs (a < b) of each bucket: everyone with the first, and with the one before in its part.
+def _first_pairs(members: DataFrame) -> DataFrame:
+    """Candidate pairs (a < b) of each bucket: everyone with its centre, and with the one before in its part.
 
-    Pairs grow with the members, not with their square, and no bucket is gathered as a whole.
+    The centre is the member that meets most others over all its buckets, as the text that
+    the others were copied from does. Pairs grow with the members, not with their square,
+    and no bucket is gathered as a whole.
     """
-    firsts = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct(order.alias("o"), F.col("node"))).alias("first")).where("size > 1")
-    joined = members.join(firsts.select("bucket", "size", F.col("first.node").alias("first")), "bucket").withColumn("o", order)
-    joined = joined.withColumn("part", F.pmod(F.xxhash64("o", "node"), F.ceil(F.col("size") / PART)))
-    joined = joined.withColumn("before", F.lag("node").over(Window.partitionBy("bucket", "part").orderBy("o", "node")))
+    firsts = members.groupBy("bucket").agg(F.min(F.struct((-F.col("met")).alias("m"), "node")).alias("first"))
+    joined = members.join(firsts.select("bucket", F.col("first.node").alias("first")), "bucket")
+    joined = joined.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / PART)))
+    joined = joined.withColumn("before", F.lag("node").over(Window.partitionBy("bucket", "part").orderBy(F.desc("met"), "node")))
     pairs = joined.withColumn("other", F.explode(F.array_distinct(F.array_compact(F.array("first", "before")))))
-    pairs = pairs.where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-    return pairs.distinct()
+    return _ordered(pairs)
+
+
+def _later_pairs(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """For members outside the largest class of their bucket: pairs with some members of its other classes."""
+    classes = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    counted = classes.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    largest = counted.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("classes")).where("classes > 1")
+    classes = classes.join(largest.select("bucket", F.col("m.root").alias("main")), "bucket")
+    # a few per class and bucket, other ones each turn; the cut is made before the exchange
+    order = Window.partitionBy("bucket", "root").orderBy(F.xxhash64(F.lit(turn), "node"))
+    others = classes.withColumn("at", F.row_number().over(order)).where(F.col("at") <= LATER)
+    some = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(turn), "root"), "at", "node")
+    others = others.withColumn("at", F.row_number().over(some)).where(F.col("at") <= 2 * LATER)
+    main = classes.where("root = main").withColumn("at", F.row_number().over(order)).where(F.col("at") <= LATER)
+    others = others.unionByName(main).select("bucket", F.col("node").alias("other"), F.col("root").alias("other_root"))
+    pairs = classes.where("root <> main").join(others, "bucket").where("root <> other_root")
+    return _ordered(pairs)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, weights, size: int) -> DataFrame:
     def compare(left: pa.Array, right: pa.Array) -> pa.Array:
-        known, seen = WordHashes(), {}
+        hasher, seen = WordHasher(lower=True), {}
 
         def bag(text: bytes):
             if text not in seen:
                 if len(seen) > 64:
                     seen.clear()
-                found, counts = shingles(lower_words(text), known, size)
+                found, counts = shingles(hasher(text), size)
                 seen[text] = found, weights.value.of(found, counts)
             return seen[text]
 
@@ -240,29 +293,23 @@ def near_duplicates(
     sampled = materialise(_sampled(base, weights, bands, rows, size))
     one = sampled.groupBy("node").agg(F.min(F.struct("text_hash", "doc_id", "bands")).alias("s"))
     members = one.select("node", F.explode("s.bands").alias("bucket"))
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    members = materialise(members.join(sizes, "bucket"))
-    pairs = materialise(_neighbours(members, F.xxhash64("node")))
+    members = materialise(members.join(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket"))
+    met = members.groupBy("node").agg(F.sum("size").alias("met"))
+    members = materialise(members.join(met, "node"))
+    pairs = materialise(_first_pairs(members))
 
     wanted = members.select("node").distinct().join(one.select("node", F.col("s.text_hash").alias("hash"), F.col("s.doc_id").alias("id")), "node")
     here = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
     texts = materialise(base.drop("row").join(wanted, here).select("node", "text").dropDuplicates(["node"]))
     checked = materialise(_verified(pairs, texts, weights, size))
-    number = 0
-    while True:
-        roots = components(checked.where(F.col("similarity") >= similarity))
-        # buckets that still hold several classes: compare other members of them, until that links no more
-        number += 1
-        classes = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        order = F.xxhash64(F.lit(number), F.col("node"))
-        apart = classes.groupBy("bucket", "root").agg(F.min(F.struct(order.alias("o"), "node")).alias("m")).select("bucket", F.col("m.node").alias("node"))
-        more = materialise(_neighbours(apart, order).join(checked.select("a", "b"), ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            break
+    roots = components(checked.where(F.col("similarity") >= similarity))
+    for turn in range(TURNS):
+        more = _later_pairs(members, roots, turn).join(checked.select("a", "b"), ["a", "b"], "left_anti")
         found = materialise(_verified(more, texts, weights, size))
-        checked = materialise(checked.unionByName(found))
         if found.where(F.col("similarity") >= similarity).isEmpty():
             break
+        checked = checked.unionByName(found)
+        roots = components(checked.where(F.col("similarity") >= similarity))
     named = sampled.select("doc_id", "row", "text_hash", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = named.withColumn("id", F.col("doc_id").cast(kind))
     best = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("i"), F.col("row").alias("r"))).alias("best"), F.count("*").alias("class_size"))

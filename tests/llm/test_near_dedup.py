@@ -6,14 +6,14 @@ import random
 import numpy as np
 import pytest
 
-from aislemap.llm.common import WordHashes, lower_words
+from aislemap.llm.common import WordHasher, lower_words
 from aislemap.llm.near_dedup import Sampler, Weights, near_duplicates, shingles, weighted_jaccard, without_near_duplicates
 
 
 def expected(rows, similarity=0.8, rare=0.01):
     """Class id by row position: exact weights, all pairs, union by hand."""
-    known = WordHashes()
-    bags = [shingles(lower_words((t or "").encode()), known) for _, t in rows]
+    hasher = WordHasher(lower=True)
+    bags = [shingles(hasher((t or "").encode())) for _, t in rows]
     counts = {}
     for found, _ in bags:
         for h in found.tolist():
@@ -84,8 +84,7 @@ def test_sampler_follows_its_definition():
     sampler, rng = Sampler(64), np.random.default_rng(5)
     found = np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64))
     weights = rng.choice([1.0, 2.0, 3.7], len(found))
-    z, y = sampler._draws(found[None, :], sampler.a[:, None])
-    value, level = sampler._rank(sampler._product(z), sampler._product(y), y, np.log(weights)[None, :])
+    value, level = sampler._rank(sampler._draws(found), np.log(weights)[None, :])
     assert np.isfinite(value).all()
     lead = value.argmin(axis=1)
     from aislemap.llm.common import mix
@@ -109,3 +108,18 @@ def test_empty_table_and_columns(spark, make):
     odd = make([(1, text), (2, text + " end"), (3, "other text of five words")]).selectExpr("doc_id", "text", "'x' as node", "1 as row", "2 as bucket", "3 as text_hash")
     kept = without_near_duplicates(odd)
     assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+
+
+def test_word_hashes_depend_on_the_word_alone():
+    lower, plain = WordHasher(lower=True), WordHasher(lower=False)
+    rng = random.Random(8)
+    words = ["a", "A", "b-c", "é", "É", "word9", "x" * 90000] + ["w%d" % i for i in range(3000)]
+    text = "".join(rng.choice(words) + rng.choice([" ", "\n", "\t ", ". "]) for _ in range(40000)).encode()
+    for hasher, split in ((lower, lower_words), (plain, lambda t: t.split())):
+        found, by = split(text), {}
+        hashes = hasher(text)
+        assert len(found) == len(hashes)
+        for w, h in zip(found, hashes.tolist()):
+            assert by.setdefault(w, h) == h
+        assert len(set(by.values())) == len(by)
+        assert hasher(None).size == hasher(b"").size == hasher(b" . " if hasher is lower else b" ").size == 0
