@@ -183,7 +183,7 @@ def decode(nodes: list[Node], logits: np.ndarray) -> list[bool]:
 def fit_extractor(pages: DataFrame, most: int = PAGES, layouts: int = LAYOUTS, text: str = "html", page_id: str = "page_id") -> Extractor:
     """Trees fitted on at most ``most`` pages of the table. Without a page whose markup names its article, texts are empty."""
     known = pages.select(F.col(page_id).alias("id"), F.col(text).alias("html")).where(F.length("html").between(1, PAGE_CHARS))
-    known = known.withColumn("key", F.xxhash64(F.lit("pages"), "id", "html"))
+    known = known.withColumn("key", F.struct(F.xxhash64(F.lit("pages"), "id").alias("order"), F.xxhash64("html").alias("tie")))
     # only keys are ordered, so that no task sends pages that are not among the chosen
     keys = known.select("key").orderBy("key").limit(most)
     rows = sorted(known.join(F.broadcast(keys), "key", "left_semi").dropDuplicates(["key"]).collect(), key=lambda r: r["key"])
