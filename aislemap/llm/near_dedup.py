@@ -7,6 +7,7 @@ samples give candidates, which are verified by the exact similarity of the whole
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,10 @@ RARE, STRENGTH = 0.01, 0.25
 PART = 1000
 # Shingles whose documents are counted in one pass.
 COUNTED = 1 << 20
-# After the first pairs, members outside the largest class of a bucket meet so many of each other class, in so many turns.
-LATER, TURNS = 8, 2
+# Members of a bucket are compared wholly in blocks of at least this many, which grow with the root of the members.
+BLOCK = 128
+# A pair that shares a bucket is left uncompared if it agrees in so few samples that similar pairs do so with this probability.
+MISSED = 1e-5
 _CHUNK = 1 << 14
 
 
@@ -187,33 +190,25 @@ def frequent_shingles(docs: DataFrame, text: str, documents: int, rare: float =
     return out
 
 
-_SAMPLED = pa.schema([("doc_id", pa.string()), ("row", pa.int64()), ("text_hash", pa.int64()), ("node", pa.string()), ("bands", pa.list_(pa.int64()))])
+_SAMPLED = pa.schema([("doc_id", pa.string()), ("row", pa.int64()), ("text_hash", pa.int64()), ("node", pa.string()), ("samples", pa.binary())])
 
 
-def _sampled(base: DataFrame, weights, bands: int, rows: int, size: int) -> DataFrame:
-    """Every document with the digest of its words (``node``) and its band keys."""
+def _sampled(base: DataFrame, weights, functions: int, size: int) -> DataFrame:
+    """Every document with the digest of its words (``node``) and its samples, 32 bits of each; none without words."""
 
     def draw(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, sampler = WordHasher(lower=True), Sampler(bands * rows)
-        salt = mix(np.arange(bands, dtype=np.uint64) + np.uint64(1))
+        hasher, sampler = WordHasher(lower=True), Sampler(functions)
         for part in parts:
-            nodes, keys = [], []
+            nodes, drawn = [], []
             for raw in binary(part.column(3)):
                 words = hasher(raw)
                 nodes.append(xxhash.xxh3_128_hexdigest(words.tobytes()))
                 found, counts = shingles(words, size)
-                if not len(found):
-                    keys.append([])
-                    continue
-                drawn = sampler.samples(found, weights.value.of(found, counts)).reshape(bands, rows)
-                key = salt.copy()
-                for i in range(rows):
-                    key = mix(key + drawn[:, i])
-                keys.append(key.view(np.int64))
-            arrays = [part.column(0), part.column(1), part.column(2), pa.array(nodes), pa.array(keys, pa.list_(pa.int64()))]
+                drawn.append(sampler.samples(found, weights.value.of(found, counts)).astype("<u4").tobytes() if len(found) else b"")
+            arrays = [part.column(0), part.column(1), part.column(2), pa.array(nodes), pa.array(drawn, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, schema=_SAMPLED)
 
-    return base.mapInArrow(draw, "doc_id string, row long, text_hash long, node string, bands array<long>")
+    return base.mapInArrow(draw, "doc_id string, row long, text_hash long, node string, samples binary")
 
 
 def _first_pairs(members: DataFrame) -> DataFrame:
@@ -231,23 +226,6 @@ def _first_pairs(members: DataFrame) -> DataFrame:
     return _ordered(pairs)
 
 
-def _later_pairs(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
-    """For members outside the largest class of their bucket: pairs with some members of its other classes."""
-    classes = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    counted = classes.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    largest = counted.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("classes")).where("classes > 1")
-    classes = classes.join(largest.select("bucket", F.col("m.root").alias("main")), "bucket")
-    # a few per class and bucket, other ones each turn; the cut is made before the exchange
-    order = Window.partitionBy("bucket", "root").orderBy(F.xxhash64(F.lit(turn), "node"))
-    others = classes.withColumn("at", F.row_number().over(order)).where(F.col("at") <= LATER)
-    some = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(turn), "root"), "at", "node")
-    others = others.withColumn("at", F.row_number().over(some)).where(F.col("at") <= 2 * LATER)
-    main = classes.where("root = main").withColumn("at", F.row_number().over(order)).where(F.col("at") <= LATER)
-    others = others.unionByName(main).select("bucket", F.col("node").alias("other"), F.col("root").alias("other_root"))
-    pairs = classes.where("root <> main").join(others, "bucket").where("root <> other_root")
-    return _ordered(pairs)
-
-
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
@@ -271,6 +249,150 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights, size: int) -> DataFra
     return pairs.join(a, "a").join(b, "b").select("a", "b", F.arrow_udf(compare, "double")("text_a", "text_b").alias("similarity"))
 
 
+def least_agreement(functions: int, similarity: float, missed: float = MISSED) -> int:
+    """The samples in which a pair of this similarity agrees, but for a probability of at most ``missed``."""
+    below = 0.0
+    for n in range(functions + 1):
+        below += math.comb(functions, n) * similarity**n * (1 - similarity) ** (functions - n)
+        if below > missed:
+            return n
+    return functions
+
+
+def _blocks(members: DataFrame, roots: DataFrame, samples: DataFrame) -> DataFrame:
+    """The members of every bucket that holds several classes, once for each block pair (i, j) they belong to.
+
+    The largest class is cut into blocks of its own, which do not meet each other. Members
+    outside it meet all blocks. Blocks grow with the root of the members, so n members that
+    are all of different classes make n * sqrt(n) / 4 rows, and no task gets a whole bucket.
+    """
+    classes = members.join(roots, "node", "left").select("bucket", "band", "node", F.xxhash64(F.coalesce("root", "node")).alias("root"))
+    counted = classes.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    open_ = counted.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all"), F.count("*").alias("classes")).where("classes > 1")
+
+    def blocks(n):
+        return F.ceil(n / F.greatest(F.lit(BLOCK), F.ceil(4 * F.sqrt(n)))).cast("int")
+
+    open_ = open_.select("bucket", F.col("m.root").alias("main"), blocks(F.col("all") - F.col("m.n")).alias("others"), blocks(F.col("m.n")).alias("mains"))
+    here, spot = F.col("root") == F.col("main"), F.xxhash64("node", "bucket")
+    part = F.when(here, F.col("others") + F.pmod(spot, F.col("mains"))).otherwise(F.pmod(spot, F.col("others"))).cast("int")
+    meets = F.sequence(F.lit(0), F.when(here, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1))
+    dealt = classes.join(open_, "bucket").withColumn("part", part).join(samples, "node")
+    dealt = dealt.select("bucket", F.explode(meets).alias("with"), "part", "band", "node", "root", "samples")
+    return dealt.select("bucket", F.least("with", "part").alias("i"), F.greatest("with", "part").alias("j"), "part", "band", "node", "root", "samples")
+
+
+def _dealt(blocks: DataFrame) -> DataFrame:
+    return blocks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+
+def _runs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one block pair after the other, from batches in the order of (bucket, i, j)."""
+    held, last = [], None
+    for part in parts:
+        keys = np.column_stack([part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3)])
+        if not len(keys):
+            continue
+        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for a, b in zip(edges, edges[1:]):
+            key = tuple(keys[a].tolist())
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _close(run: pa.Table, bands: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the pairs of a block pair that may be similar, how often they agree, and the class of every position.
+
+    Pairs are of different classes, and only the first bucket that both are in has them.
+    """
+    i, j, part, band, root = (run.column(c).to_numpy() for c in ("i", "j", "part", "band", "root"))
+    drawn = np.frombuffer(b"".join(run.column("samples").to_pylist()), "<u4").reshape(len(root), -1)
+    left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+    found = []
+    step = max(1, (1 << 22) // (drawn.shape[1] * max(1, len(right))))
+    for at in range(0, len(left), step):
+        some = left[at : at + step]
+        equal = drawn[some][:, None, :] == drawn[right][None, :, :]
+        agree = equal.sum(axis=2)
+        near = (agree >= least) & (root[some][:, None] != root[right][None, :])
+        if i[0] == j[0]:
+            near &= some[:, None] < right[None, :]
+        x, y = np.nonzero(near)
+        first = equal[x, y].reshape(len(x), bands, drawn.shape[1] // bands).all(axis=2).argmax(axis=1) == band[0]
+        x, y = x[first], y[first]
+        found.append((some[x], right[y], agree[x, y]))
+    return *(np.concatenate(c) if c else np.empty(0, np.int64) for c in zip(*found)), root
+
+
+_BLOCKS = "bucket long, i int, j int, part int, band int, node string, root long, samples binary"
+
+
+def _open_links(members: DataFrame, roots: DataFrame, samples: DataFrame, texts: DataFrame, weights, bands: int, least: int, similarity: float, size: int) -> DataFrame:
+    """Similar pairs (a < b) of a bucket and of different classes; one link between two classes in a block pair is enough.
+
+    All pairs are met in blocks and never become rows. Those that agree in enough samples
+    are compared by the whole texts, which only members of such pairs bring along.
+    """
+
+    def meet(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for run in _runs(parts):
+            x, y, _, _ = _close(run, bands, least)
+            if len(x):
+                held.append(run.take(np.unique(np.concatenate([x, y]))))
+                rows += len(held[-1])
+            if rows >= _CHUNK:
+                yield from pa.concat_tables(held).combine_chunks().to_batches()
+                held, rows = [], 0
+        if held:
+            yield from pa.concat_tables(held).combine_chunks().to_batches()
+
+    def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher(lower=True)
+        for run in _runs(parts):
+            x, y, agree, root = _close(run, bands, least)
+            order = np.lexsort((-agree, x))
+            nodes, bags = run.column("node").to_pylist(), []
+            for text in binary(run.column("text").combine_chunks()):
+                found, counts = shingles(hasher(text), size)
+                bags.append((found, weights.value.of(found, counts)))
+            all_, place = np.unique(np.concatenate([b[0] for b in bags]), return_inverse=True)
+            ids = np.split(place, np.cumsum([len(b[0]) for b in bags])[:-1])
+            sums = [float(b[1].sum()) for b in bags]
+            parent = {r: r for r in root.tolist()}
+
+            def top(r: int) -> int:
+                while parent[r] != r:
+                    parent[r] = r = parent[parent[r]]
+                return r
+
+            own, last, links = np.zeros(len(all_)), -1, []
+            for p, q in zip(x[order].tolist(), y[order].tolist()):
+                a, b = top(int(root[p])), top(int(root[q]))
+                if a == b or min(sums[p], sums[q]) < similarity * max(sums[p], sums[q]) - 1e-6:
+                    continue
+                if p != last:
+                    if last >= 0:
+                        own[ids[last]] = 0
+                    own[ids[p]] = bags[p][1]
+                    last = p
+                low = float(np.minimum(own[ids[q]], bags[q][1]).sum())
+                # sums in another order may differ in the last digits
+                if low + 1e-6 >= similarity * (sums[p] + sums[q] - low) and weighted_jaccard(bags[p], bags[q]) >= similarity:
+                    parent[a] = b
+                    links.append(sorted((nodes[p], nodes[q])))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in links]), pa.array([k[1] for k in links])], names=["a", "b"])
+
+    near = materialise(_dealt(_blocks(members, roots, samples)).mapInArrow(meet, _BLOCKS))
+    return _dealt(near.join(texts, "node").select("bucket", "i", "j", "part", "band", "node", "root", "samples", "text")).mapInArrow(compare, "a string, b string")
+
+
 def near_duplicates(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE
 ) -> DataFrame:
@@ -290,9 +412,10 @@ def near_duplicates(
     )
     documents = docs.count()
     weights = spark.sparkContext.broadcast(Weights(frequent_shingles(docs, text, documents, RARE, size), documents, RARE))
-    sampled = materialise(_sampled(base, weights, bands, rows, size))
-    one = sampled.groupBy("node").agg(F.min(F.struct("text_hash", "doc_id", "bands")).alias("s"))
-    members = one.select("node", F.explode("s.bands").alias("bucket"))
+    sampled = materialise(_sampled(base, weights, bands * rows, size))
+    one = sampled.groupBy("node").agg(F.min(F.struct("text_hash", "doc_id", "samples")).alias("s"))
+    keys = [F.xxhash64(F.lit(b), F.substring("s.samples", 4 * rows * b + 1, 4 * rows)) for b in range(bands)]
+    members = one.where(F.length("s.samples") > 0).select("node", F.posexplode(F.array(*keys)).alias("band", "bucket"))
     members = materialise(members.join(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket"))
     met = members.groupBy("node").agg(F.sum("size").alias("met"))
     members = materialise(members.join(met, "node"))
@@ -303,13 +426,12 @@ def near_duplicates(
     texts = materialise(base.drop("row").join(wanted, here).select("node", "text").dropDuplicates(["node"]))
     checked = materialise(_verified(pairs, texts, weights, size))
     roots = components(checked.where(F.col("similarity") >= similarity))
-    for turn in range(TURNS):
-        more = _later_pairs(members, roots, turn).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        found = materialise(_verified(more, texts, weights, size))
-        if found.where(F.col("similarity") >= similarity).isEmpty():
-            break
-        checked = checked.unionByName(found)
-        roots = components(checked.where(F.col("similarity") >= similarity))
+    links = checked.where(F.col("similarity") >= similarity).select("a", "b")
+    samples = one.select("node", F.col("s.samples").alias("samples"))
+    least = least_agreement(bands * rows, similarity)
+    more = materialise(_open_links(members, roots, samples, texts, weights, bands, least, similarity, size))
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
     named = sampled.select("doc_id", "row", "text_hash", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = named.withColumn("id", F.col("doc_id").cast(kind))
     best = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("i"), F.col("row").alias("r"))).alias("best"), F.count("*").alias("class_size"))

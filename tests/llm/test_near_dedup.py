@@ -80,6 +80,20 @@ def test_classes_match_all_pairs(make, seed, copies):
     assert len(kept) == len({r["class_id"] for r in kept}) and all(r["doc_id"] == r["class_id"] for r in kept)
 
 
+def test_every_pair_of_a_shared_passage_is_met(make):
+    """Texts of one passage and little else are all in the same buckets and in classes of their own, but for the planted pairs."""
+    rng, rows = random.Random(11), []
+    word = lambda: "w" + str(rng.randrange(10**9))
+    passage = [word() for _ in range(200)]
+    for _ in range(120):
+        own = [word() for _ in range(36)]
+        rows.append((len(rows), " ".join(passage + own)))
+        rows.append((len(rows), " ".join(passage + own[:18] + [word() for _ in range(18)])))
+    want = expected(rows)
+    assert len(want) == 240 and all(size == 2 for _, _, size in want)
+    assert got(near_duplicates(make(rows))) == want
+
+
 def test_sampler_follows_its_definition():
     sampler, rng = Sampler(64), np.random.default_rng(5)
     found = np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64))
