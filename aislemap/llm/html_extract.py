@@ -3,13 +3,15 @@
 Every block and text run gets the probability that it holds main text, and the most likely
 labelling in which a kept node has kept ancestors only is decoded over the tree. Pages carry
 no labels: the trees learn from pages of the table whose markup names the article, and from
-the same pages laid out anew with other markup around and inside the article.
+the same pages laid out anew with other markup around and inside the article. Where no page
+names its article, the trees are those of made-up pages, and score the same features.
 """
 
 from __future__ import annotations
 
 import html
 import random
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +20,11 @@ from pyspark.sql import DataFrame, functions as F
 from aislemap.llm.html_dom import Node, features, read
 from aislemap.llm.trees import Tree, boost
 
-# Pages the fit may see, chosen by a hash of the id, and their greatest length.
+# Pages the fit may see, chosen by a hash of the id among those that can teach, and their greatest length.
 PAGES, PAGE_CHARS = 240, 200_000
 LAYOUTS = 3
+# Pages without this have nothing to teach; of the others some have not, such as those with it in a script.
+TEACHING = r"(?i)<(article|main)|data-main-text"
 TREES, DEPTH = 40, 4
 
 _OUTSIDE = {"nav", "aside", "header", "footer", "form", "fieldset", "dialog", "button"}
@@ -141,14 +145,14 @@ def laid_out(main: list[tuple[str, str]], other: list[str], rng: random.Random)
 
 
 class Extractor:
-    """The trees, and the decoding of the page they score."""
+    """The trees learnt from a table, else the ``default`` ones, and the decoding of the page they score."""
 
-    def __init__(self, start: float, trees: list[Tree]):
-        self.start, self.trees = start, trees
+    def __init__(self, start: float, trees: list[Tree], default: list[Tree] | None = None):
+        self.start, self.trees, self.default = start, trees, default or []
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         score = np.full(len(x), self.start)
-        for tree in self.trees:
+        for tree in self.trees or self.default:
             score += tree.predict(x)
         return np.clip(score, -12, 12)
 
@@ -180,17 +184,11 @@ def decode(nodes: list[Node], logits: np.ndarray) -> list[bool]:
     return kept
 
 
-def fit_extractor(pages: DataFrame, most: int = PAGES, layouts: int = LAYOUTS, text: str = "html", page_id: str = "page_id") -> Extractor:
-    """Trees fitted on at most ``most`` pages of the table. Without a page whose markup names its article, texts are empty."""
-    known = pages.select(F.col(page_id).alias("id"), F.col(text).alias("html")).where(F.length("html").between(1, PAGE_CHARS))
-    known = known.withColumn("key", F.struct(F.xxhash64(F.lit("pages"), "id").alias("order"), F.xxhash64("html").alias("tie")))
-    # only keys are ordered, so that no task sends pages that are not among the chosen
-    keys = known.select("key").orderBy("key").limit(most)
-    rows = sorted(known.join(F.broadcast(keys), "key", "left_semi").dropDuplicates(["key"]).collect(), key=lambda r: r["key"])
-    read_pages = [(r["html"], read(r["html"])) for r in rows]
-    other = [n.text for _, nodes in read_pages for n in nodes if n.tag == "#text"]
+def _fit(read_pages: list[list[Node]], layouts: int) -> tuple[float, list[Tree]] | None:
+    """Start value and trees learnt from pages and their new layouts; nothing if no page names its article."""
+    other = [n.text for nodes in read_pages for n in nodes if n.tag == "#text"]
     rng, xs, ys = random.Random(7), [], []
-    for _, nodes in read_pages:
+    for nodes in read_pages:
         runs = teacher(nodes)
         if runs is None or not any(runs):
             continue
@@ -199,10 +197,55 @@ def fit_extractor(pages: DataFrame, most: int = PAGES, layouts: int = LAYOUTS, t
         for page, labels in [(nodes, runs)] + [(p, teacher(p)) for p in made]:
             xs.append(features(page))
             ys.append(node_labels(page, labels))
-    if not xs:
-        return Extractor(-1.0, [])
-    start, trees = boost(np.vstack(xs), np.concatenate(ys).astype(float), TREES, DEPTH, bins=32)
-    return Extractor(start, trees)
+    return boost(np.vstack(xs), np.concatenate(ys).astype(float), TREES, DEPTH, bins=32) if xs else None
+
+
+@cache
+def default_extractor() -> Extractor:
+    """What pages of made-up words in all layouts teach; it depends on no table."""
+    rng = random.Random(17)
+
+    def words(n: int) -> str:
+        return " ".join("".join(rng.choice("aeioubdlmnrst") for _ in range(rng.choice([2, 3, 4, 5, 6, 8, 10]))) for _ in range(n)).capitalize()
+
+    def sentences(a: int, b: int) -> str:
+        return " ".join(words(rng.randint(4, 10)) + rng.choice([". ", ", " + words(rng.randint(3, 10)).lower() + ". "]).rstrip() for _ in range(rng.randint(a, b)))
+
+    made = []
+    for _ in range(PAGES):
+        main = [("h1", words(rng.randint(2, 12)))] if rng.random() < 0.9 else []
+        for _ in range(rng.randint(1, 12)):
+            if rng.random() < 0.15:
+                main.append(("h2", words(rng.randint(1, 7))))
+            main.append(("p", sentences(1, rng.choice([2, 6, 12]))))
+        other = [words(rng.randint(1, 4)) for _ in range(6)] + [sentences(1, 3) for _ in range(6)]
+        made.append(read(laid_out(main, other, rng)))
+    start, trees = _fit(made, LAYOUTS)
+    return Extractor(start, [], trees)
+
+
+def fit_extractor(pages: DataFrame, most: int = PAGES, layouts: int = LAYOUTS, text: str = "html", page_id: str = "page_id") -> Extractor:
+    """Trees fitted on at most ``most`` pages of the table whose markup names the article; the default ones if there are none.
+
+    The first pages by key are read first. Only if some of them cannot teach are all pages asked.
+    """
+    known = pages.select(F.col(page_id).alias("id"), F.col(text).alias("html")).where(F.length("html").between(1, PAGE_CHARS))
+    known = known.withColumn("key", F.struct(F.xxhash64(F.lit("pages"), "id").alias("order"), F.xxhash64("html").alias("tie")))
+
+    def teaches(column: pa.Array) -> pa.Array:
+        return pa.array([any(teacher(read(s)) or ()) for s in column.to_pylist()], pa.bool_())
+
+    def first(some: DataFrame) -> list[list[Node]]:
+        # only keys are ordered, so that no task sends pages that are not among the chosen
+        keys = some.select("key").orderBy("key").limit(most)
+        rows = sorted(known.join(F.broadcast(keys), "key", "left_semi").dropDuplicates(["key"]).collect(), key=lambda r: r["key"])
+        return [read(r["html"]) for r in rows]
+
+    read_pages = first(known)
+    if not all(any(teacher(p) or ()) for p in read_pages):
+        read_pages = first(known.where(F.col("html").rlike(TEACHING)).where(F.arrow_udf(teaches, "boolean")("html")))
+    fitted = _fit(read_pages, layouts)
+    return Extractor(*fitted) if fitted else default_extractor()
 
 
 def extract_text(pages: DataFrame, extractor: Extractor, text: str = "html") -> DataFrame:

@@ -39,6 +39,33 @@ def test_unseen_layouts(spark, extractor):
     assert wrong / total < 0.01
 
 
+def without_article(html):
+    """The page in containers that do not name the article."""
+    for tag in ("article", "main"):
+        html = html.replace(f"<{tag}", "<div").replace(f"</{tag}>", "</div>")
+    return html
+
+
+def test_pages_that_cannot_teach(spark):
+    rows = spark.read.parquet(f"{SF}/pages.parquet").orderBy("page_id").limit(100).collect()
+    want = {r["page_id"]: [n.text for n, m in zip(read(r["html"]), teacher(read(r["html"]))) if m] for r in rows}
+    plain = spark.createDataFrame([(r["page_id"], without_article(r["html"])) for r in rows], "page_id long, html string")
+    out = extract_text(plain, fit_extractor(plain)).collect()
+    wrong = total = 0
+    for r in out:
+        got, main = r["text"].split("\n"), want[r["page_id"]]
+        wrong += len(set(got) ^ set(main))
+        total += len(main)
+    assert all(r["text"] for r in out) and wrong / total < 0.05
+
+
+def test_pages_that_teach_are_rare(spark):
+    rows = spark.read.parquet(f"{SF}/pages.parquet").orderBy("page_id").limit(300).collect()
+    mixed = [(r["page_id"], r["html"] if i < 3 else without_article(r["html"])) for i, r in enumerate(rows)]
+    mixed += [(1000 + i, "<script>'<article>'</script><p>x</p>") for i in range(50)]
+    assert fit_extractor(spark.createDataFrame(mixed, "page_id long, html string"), most=3).trees
+
+
 WORDS = "The harbour was rebuilt after the storm, and the council paid for most of it. "
 PAGE = f"""<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body>
 <header><h2>Site</h2></header><div class="menu"><a href=1>Home</a> <a href=2>News</a></div>
