@@ -92,7 +92,7 @@ def c2(spark, sf_dir):
 
 @query("c5_sweep_k")
 def c5(spark, sf_dir):
-    return kmeans.sweep_k(vectors(spark, sf_dir), [5, 10, 15])
+    return kmeans.sweep_k(vectors(spark, sf_dir), range(50, 301, 5), restarts=3)
 
 
 @query("c5_select_best_k", """SELECT k, silhouette FROM (SELECT CAST(p_size AS INTEGER) AS k, round(avg(l_discount), 9) AS silhouette
@@ -107,7 +107,7 @@ def c5_best(spark, sf_dir):
 
 @query("c6_elbow")
 def c6(spark, sf_dir):
-    return kmeans.sweep_k(vectors(spark, sf_dir), range(2, 6), restarts=2, max_iter=50)
+    return kmeans.elbow(vectors(spark, sf_dir))
 
 
 _RELABEL = "SELECT listing_id, CASE WHEN label < 2 THEN (SELECT max(label) FROM embeddings) + 1 ELSE label END AS cluster, label < 2 AS is_noise FROM (SELECT vec_id AS listing_id, label FROM embeddings)"

@@ -245,3 +245,18 @@ def test_sweeps(spark):
     labelled = kmeans.kmeans(df, 3, restarts=1)
     assert -1 <= quality.silhouette_fast(labelled) <= 1
     assert quality.basic_cluster_metrics(labelled).first()["num_clusters"] == 3
+
+
+def test_sweep_queries_cover_the_whole_range(monkeypatch):
+    from catalog_queries import learning
+
+    calls = []
+
+    def sweep_k(df, ks, seed=42, vec="vec", id_col="listing_id", restarts=1, max_iter=20):
+        calls.append((list(ks), restarts, max_iter))
+
+    monkeypatch.setattr(kmeans, "sweep_k", sweep_k)
+    monkeypatch.setattr(learning, "vectors", lambda spark, sf_dir: None)
+    for name in ("c5_sweep_k", "c6_elbow"):
+        learning.QUERIES[name][0](None, "")
+    assert calls == [(list(range(50, 301, 5)), 3, 20), (list(range(2, 16)), 10, 300)]
