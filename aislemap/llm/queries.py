@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from aislemap.llm import sql
 from aislemap.llm.common import documents
+from aislemap.llm.conversation_trie import encode_turns, prefix_trie, rebuild
 from aislemap.llm.decontaminate import WINDOW as ITEM_WINDOW, decontaminate
 from aislemap.llm.exact_dedup import exact_dedup
 from aislemap.llm.html_extract import extract_text, fit_extractor
@@ -93,3 +94,8 @@ def op9_quality(spark, sf_dir):
 @query("op10_exact_dedup", sql.EXACT_DEDUP)
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(documents(spark, sf_dir))
+
+
+@query("op13_conversation_trie", sql.CONVERSATION_TRIE)
+def op13_conversation_trie(spark, sf_dir):
+    return prefix_trie(rebuild(encode_turns(documents(spark, sf_dir, "conversations"))))

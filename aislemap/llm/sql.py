@@ -74,3 +74,33 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+def _crc32(text: str) -> str:
+    return f"""xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)),
+    lambda acc, b: list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))))"""
+
+
+CONVERSATION_TRIE = f"""
+WITH s AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, left(x, 64), sha256(octet_length(encode(r)) || ':' || r || x)) AS pos FROM s),
+c AS (SELECT *, {_crc32("conv_id::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS head FROM s)),
+hl AS (SELECT c.conv_id, c.head, c.h, count(t.pos) AS nh FROM c LEFT JOIN t ON t.conv_id = c.head AND t.pos <= c.h GROUP BY ALL),
+b AS (SELECT hl.conv_id, t.pos, r, x FROM hl JOIN t ON t.conv_id = hl.head AND t.pos <= hl.h
+  UNION ALL SELECT hl.conv_id, t.pos - hl.h + hl.nh, r, x FROM hl JOIN t ON t.conv_id = hl.conv_id AND t.pos > hl.h),
+size AS (SELECT c.conv_id, count(b.pos) AS len FROM c LEFT JOIN b USING (conv_id) GROUP BY 1),
+p AS (SELECT conv_id, pos AS depth, octet_length(encode(x)) AS bytes,
+    sha256(string_agg(octet_length(encode(r)) || ':' || octet_length(encode(x)) || ':' || r || x, '') OVER (PARTITION BY conv_id ORDER BY pos)) AS path FROM b
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+v AS (SELECT *, min(conv_id) OVER (PARTITION BY depth, path) AS node FROM p),
+n AS (SELECT node, depth, count(*) AS n_convs, any_value(bytes) AS bytes FROM v GROUP BY 1, 2),
+np AS (SELECT n.*, q.node AS parent FROM n LEFT JOIN v q ON q.conv_id = n.node AND q.depth = n.depth - 1),
+kids AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS kids FROM np WHERE depth > 0 GROUP BY 1, 2),
+nk AS (SELECT np.*, coalesce(kids, 0) AS kids FROM np LEFT JOIN kids USING (node, depth)),
+sub AS (SELECT q.node, q.depth, sum((nk.n_convs - 1) * nk.bytes) AS saved, count(*) FILTER (nk.kids = 0) AS leaves
+  FROM nk JOIN v q ON q.conv_id = nk.node AND q.depth <= nk.depth GROUP BY 1, 2),
+ends AS (SELECT node, depth, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM v JOIN size USING (conv_id) WHERE depth = len GROUP BY 1, 2)
+SELECT node AS conv_id, depth, parent AS parent_conv_id, n_convs, kids AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM nk JOIN sub USING (node, depth) LEFT JOIN ends USING (node, depth)
+"""
