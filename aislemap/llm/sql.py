@@ -104,3 +104,22 @@ ends AS (SELECT node, depth, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY co
 SELECT node AS conv_id, depth, parent AS parent_conv_id, n_convs, kids AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
 FROM nk JOIN sub USING (node, depth) LEFT JOIN ends USING (node, depth)
 """
+
+
+def collocations(longest: int, least: int, best: int, percent: int) -> str:
+    return rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOW}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
+g AS (SELECT lang, k, w[i : i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, {longest + 1}) r(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, g, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= {least}),
+longer AS (SELECT lang, g, max(n) AS n FROM (SELECT lang, unnest([g[2:], g[:-2]]) AS g, n FROM f WHERE k >= 3) GROUP BY 1, 2),
+kept AS (SELECT f.* FROM f LEFT JOIN longer USING (lang, g) WHERE f.k >= 2 AND (longer.n IS NULL OR 100 * longer.n < {percent} * f.n)),
+cut AS (SELECT *, unnest(range(1, k)) AS c FROM kept),
+scored AS (SELECT cut.lang, cut.g, cut.n AS a, c, x.n AS l, y.n AS r, total.n, ((1000::HUGEINT * cut.n * total.n) // (x.n::HUGEINT * y.n))::BIGINT AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.g = cut.g[:c] JOIN f y ON y.lang = cut.lang AND y.g = cut.g[c + 1:] JOIN total ON total.lang = cut.lang),
+weakest AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, c) AS place FROM scored),
+spelt AS (SELECT *, array_to_string(g, ' ') AS phrase FROM weakest WHERE place = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM spelt)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= {best}
+"""
