@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aislemap.llm import sql
+from aislemap.llm.class_lm import class_lm
 from aislemap.llm.collocations import BEST, LEAST_COUNT, LONGEST, PERCENT, collocations
 from aislemap.llm.common import documents
 from aislemap.llm.conversation_trie import encode_turns, prefix_trie, rebuild
@@ -97,6 +98,11 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(documents(spark, sf_dir))
 
 
+@query("op11_class_lm")
+def op11_class_lm(spark, sf_dir):
+    return class_lm(documents(spark, sf_dir))
+
+
 @query("op12_collocations", sql.collocations(LONGEST, LEAST_COUNT, BEST, PERCENT))
 def op12_collocations(spark, sf_dir):
     return collocations(documents(spark, sf_dir))
