@@ -5,8 +5,8 @@ token in its class. The commonest words are units of their own; every other word
 not, belongs to the unit of its last three bytes, so all words have a class without a
 table of all words in every task. Exchange clustering moves units between classes: per
 round one pass counts the classes beside every unit, and each unit takes the class that
-raises the likelihood of the class bigrams most. Half of the units move per round, and
-the best assignment of all rounds stays.
+raises the likelihood of the class bigrams most. A share of the units, another one each
+time, moves per round, and the best assignment of all rounds stays.
 
 A class gives its words (n - D) / N and its unseen words together D * types / N, so the
 probabilities of all words and the one unseen word of each class add up to one. D comes
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from aislemap.llm.common import batches, binary
+from aislemap.llm.common import batches, binary, mix
 from aislemap.session import materialise, spread
 
 CLASSES, ROUNDS = 64, 10
@@ -231,40 +231,54 @@ def best_classes(before: np.ndarray, after: np.ndarray, self_: np.ndarray, own:
     return out
 
 
+def chosen(units: np.ndarray, step: int, share: float) -> np.ndarray:
+    """A share of the units, another one in each step."""
+    return (mix(units.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(step + 1)) >> np.uint64(11)) < share * 2**53
+
+
 def exchange(rows: DataFrame, units: Units, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each unit, class bigrams); the end token is the last of ``k`` classes alone."""
-    numbers = np.arange(units.count)
-    classes = (numbers % (k - 1)).astype(np.int64)
-    classes[units.end] = k - 1
+    """(class of each unit, class bigrams); the end token is the last of ``k`` classes alone.
+
+    Units that follow each other into a class overshoot. If a round makes the likelihood
+    smaller, the next one starts again from the best classes and moves half as many units.
+    """
+    end, share = units.end, 0.5
+    classes = np.arange(units.count) % (k - 1)
+    classes[end] = k - 1
     best = None
     for step in range(rounds + 1):
         blocks = neighbour_counts(rows, classes, k)
         m = class_bigrams(blocks, classes, k)
         value = likelihood(m)
         if best is None or value > best[0]:
-            best = (value, classes, m)
+            best = (value, classes, m, blocks)
+        else:
+            share /= 2
         if step == rounds:
             break
-
-        def move(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in parts:
-                for block, counts in zip(part.column("block").to_pylist(), binary(part.column("counts"))):
-                    before, after, self_ = _unpack(counts, k)
-                    at = np.arange(block * BLOCK, block * BLOCK + len(self_))
-                    # the others stay this round: units that follow each other into a class would overshoot
-                    which = (((at * 2654435761 >> 7) + step) % 2 == 0) & (at != units_end)
-                    moved = best_classes(before, after, self_, classes[at], m, k - 1, which)
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([moved.tobytes()], pa.binary())], names=["block", "classes"])
-
-        units_end = units.end
-        after = classes.copy()
-        for r in blocks.mapInArrow(move, "block int, classes binary").collect():
-            new = np.frombuffer(r["classes"], np.int64)
-            after[r["block"] * BLOCK : r["block"] * BLOCK + len(new)] = new
-        classes = after
+        classes = _moved(*best[1:], end, step, share)
     return best[1], best[2]
 
 
+def _moved(classes: np.ndarray, m: np.ndarray, blocks: DataFrame, end: int, step: int, share: float) -> np.ndarray:
+    """The classes after a share of the units has moved; a row of fixed size from every block of units."""
+    k = len(m)
+
+    def move(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for block, counts in zip(part.column("block").to_pylist(), binary(part.column("counts"))):
+                before, after, self_ = _unpack(counts, k)
+                at = np.arange(block * BLOCK, block * BLOCK + len(self_))
+                moved = best_classes(before, after, self_, classes[at], m, k - 1, chosen(at, step, share) & (at != end))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([moved.tobytes()], pa.binary())], names=["block", "classes"])
+
+    out = classes.copy()
+    for r in blocks.mapInArrow(move, "block int, classes binary").collect():
+        new = np.frombuffer(r["classes"], np.int64)
+        out[r["block"] * BLOCK : r["block"] * BLOCK + len(new)] = new
+    return out
+
+
 class Model:
     """What scoring needs besides the counts of rarer words; its size does not grow with the corpus."""
 
