@@ -150,14 +150,12 @@ def neighbour_counts(rows: DataFrame, classes: np.ndarray, k: int) -> DataFrame:
             full = np.concatenate([total[0].reshape(-1, k), total[1].reshape(-1, k), total[2][:, None]], axis=1)
             task = TaskContext.get().partitionId()
             blocks = range(0, n_units, BLOCK)
-            yield from batches(((b // BLOCK, task, full[b : b + BLOCK].tobytes()) for b in blocks), _COUNTS, 16)
+            yield from batches(((b // BLOCK, task, _packed(full[b : b + BLOCK])) for b in blocks), _COUNTS, 16)
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(len(table.column("counts")[0].as_py()) // 8, np.int64)
-        for row in table.column("counts"):
-            total += np.frombuffer(row.as_py(), np.int64)
+        total = sum(np.frombuffer(zlib.decompress(row.as_py()), np.int64) for row in table.column("counts"))
         first = [table.column(c)[0].as_py() for c in ("block", "task")]
-        return pa.table([pa.array([first[0]], pa.int32()), pa.array([first[1]], pa.int64()), pa.array([total.tobytes()], pa.binary())], _COUNTS)
+        return pa.table([pa.array([first[0]], pa.int32()), pa.array([first[1]], pa.int64()), pa.array([_packed(total)], pa.binary())], _COUNTS)
 
     schema, tasks = "block int, task long, counts binary", rows.rdd.getNumPartitions()
     found = rows.mapInArrow(count, schema)
@@ -171,8 +169,13 @@ def neighbour_counts(rows: DataFrame, classes: np.ndarray, k: int) -> DataFrame:
     return out
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Most counts are small or zero."""
+    return zlib.compress(counts.tobytes(), 1)
+
+
 def _unpack(counts: bytes, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = np.frombuffer(counts, np.int64).reshape(-1, 2 * k + 1)
+    x = np.frombuffer(zlib.decompress(counts), np.int64).reshape(-1, 2 * k + 1)
     return x[:, :k].astype(float), x[:, k : 2 * k].astype(float), x[:, 2 * k].astype(float)
 
 
@@ -321,12 +324,29 @@ _SCORED = pa.schema(
 )
 
 
+def commonest(vocabulary: DataFrame) -> list[tuple[bytes, int]]:
+    """At most ``KNOWN`` words with their counts, the commonest first, and none without all others of its count.
+
+    Counts are put in steps of a 32nd power of two, of which there are some 1,400 at most.
+    """
+    words = vocabulary.where(F.col("word") != F.lit(END)).select("word", "n", F.floor(32 * F.log2(F.col("n"))).alias("step"))
+    total, least = 0, None
+    for r in words.groupBy("step").count().orderBy(F.desc("step")).collect():
+        total += r["count"]
+        if total > KNOWN:
+            break
+        least = r["step"]
+    if least is None:
+        return []
+    found = words.where(F.col("step") >= least).select("word", "n").collect()
+    return sorted(((bytes(r["word"]), r["n"]) for r in found), key=lambda x: (-x[1], x[0]))
+
+
 def fit_class_lm(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     """The model learnt from the rows that ``learns`` tells, and the counts of all their words."""
     texts = docs.where(learns()).select("text")
     vocabulary = count_words(texts)
-    ranked = vocabulary.where(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(KNOWN)
-    known = [(bytes(r["word"]), r["n"]) for r in ranked.select("word", "n").collect()]
+    known = commonest(vocabulary)
     units = Units([w for w, _ in known[:UNITS]])
     labels, bigrams = exchange(unit_rows(texts, units), units, classes + 1, rounds)
     model = Model(vocabulary, units, known, labels, bigrams)
