@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from aislemap.operators import density, features, kmeans, topics, vectors as vx, ward
@@ -90,6 +91,22 @@ def c2(spark, sf_dir):
     return kmeans.kmeans_fast(vectors(spark, sf_dir), 10).select("listing_id", "cluster")
 
 
+def _inertia_sql(k: int, rounds: int) -> str:
+    parts = [VEC, f"c1 AS (SELECT row_number() OVER (ORDER BY listing_id) - 1 AS k, vec AS c FROM vec ORDER BY listing_id LIMIT {k})"]
+    parts += [_round_sql(i + 1) for i in range(rounds)]
+    last = f"c{rounds + 1}"
+    return f"({with_(*parts)} SELECT {k} AS k, round(sum(d), 6) AS inertia FROM (SELECT min(power(list_distance(vec, c), 2)) AS d FROM vec, {last} GROUP BY listing_id))"
+
+
+@query("c5_fit_many", " UNION ALL ".join(_inertia_sql(k, 3) for k in (5, 10, 20)))
+def c5_fit_many(spark, sf_dir):
+    """Three sizes fitted at once, three rounds from the rows with the lowest ids."""
+    rows = vectors(spark, sf_dir)
+    first = np.array(rows.orderBy("listing_id").limit(20).select("vec").toPandas()["vec"].tolist(), dtype=float)
+    _, costs = kmeans.fit_many(materialise(rows), {(k, 0): first[:k] for k in (5, 10, 20)}, 3, 0.0)
+    return spark.createDataFrame([(k, round(c, 6)) for (k, _), c in costs.items()], "k int, inertia double")
+
+
 @query("c5_sweep_k")
 def c5(spark, sf_dir):
     return kmeans.sweep_k(vectors(spark, sf_dir), range(50, 301, 5), restarts=3)
@@ -150,6 +167,12 @@ def c9(spark, sf_dir):
     return density.density_cluster(vectors(spark, sf_dir), 10, 5).select("listing_id", "cluster")
 
 
+@query("c12_density_grid")
+def c12_grid(spark, sf_dir):
+    """The settings grid over one neighbour search, as the choice of settings reads it."""
+    return rounded(density.sweep_density(vectors(spark, sf_dir), [(size, samples) for samples in (5, 10) for size in (10, 20, 40)]))
+
+
 @query("c10_membership_probability")
 def c10(spark, sf_dir):
     df = density.density_cluster(vectors(spark, sf_dir), 10, 5, "leaf")

@@ -233,6 +233,50 @@ def test_kmeans_invariants(spark):
     assert best["k"] == 4
 
 
+def test_many_fits_are_plain_lloyd(spark, monkeypatch):
+    x = points(300, 4, seed=8, groups=6)
+    df = frame(spark, x)
+    first, variance = kmeans.first_centres(df, [3, 6], 2, 1, "vec", "listing_id")
+    assert set(first) == {(3, 0), (3, 1), (6, 0), (6, 1)} and (first[3, 1] == first[6, 1][:3]).all()
+    assert variance == pytest.approx(x.var(axis=0).mean())
+    got, costs = kmeans.fit_many(df, first, 50, 1e-4 * variance)
+    monkeypatch.setattr(kmeans, "DRIVER_BYTES", 0)
+    monkeypatch.setattr(kmeans, "FAN_IN", 2)
+    again, _ = kmeans.fit_many(df, first, 50, 1e-4 * variance)
+    for n, c in first.items():
+        for _ in range(50):
+            near = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+            moved = np.array([x[near == i].mean(0) if (near == i).any() else c[i] for i in range(len(c))])
+            done, c = ((moved - c) ** 2).sum() <= 1e-4 * variance, moved
+            if done:
+                break
+        assert np.allclose(got[n], c) and np.allclose(again[n], c)
+        assert costs[n] == pytest.approx(((x[:, None] - c[None]) ** 2).sum(2).min(1).sum())
+
+
+def test_batches_are_a_plain_loop(spark):
+    x = points(400, 3, seed=9, groups=5)
+    df = frame(spark, x)
+    first, _ = kmeans.first_centres(df, [5], 1, 1, "vec", "listing_id")
+    got, costs = kmeans.fit_batches(df, first, 100)
+    order = [r["listing_id"] for r in df.orderBy(F.xxhash64(F.lit(42), "listing_id"), "listing_id").collect()]
+    c, held = first[5, 0], np.zeros(5)
+    for step in range(20):
+        batch = x[[i for place, i in enumerate(order) if place * 4 // 400 == step % 4]]
+        near = ((batch[:, None] - c[None]) ** 2).sum(2).argmin(1)
+        c = c.copy()
+        for i in range(5):
+            rows = batch[near == i]
+            held[i] += len(rows)
+            c[i] += (rows - c[i]).sum(0) / max(held[i], 1)
+    assert np.allclose(got[5, 0], c)
+    _, full = kmeans.fit_many(df, first, 100, 0.0)
+    assert costs[5, 0] <= 1.05 * full[5, 0]
+    labelled = kmeans.kmeans_fast(df, 5, restarts=1)
+    assert labelled.count() == 400 and labelled.select("cluster").distinct().count() == 5
+    assert kmeans.kmeans(df.limit(0), 3).count() == 0
+
+
 def test_sweeps(spark):
     from aislemap.operators import quality
 
