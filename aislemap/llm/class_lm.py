@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from aislemap.llm.common import batches, binary, mix
-from aislemap.session import materialise, spread
+from aislemap.session import materialise
 
 CLASSES, ROUNDS = 64, 10
 # Words that are exchanged one by one; endings that gather all other words.
@@ -400,7 +400,7 @@ def score_class_lm(docs: DataFrame, model: Model, vocabulary: DataFrame) -> Data
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~learns()).alias("held_out"), "text")
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, own double, rare array<struct<word:binary,m:int,class:int>>"
-    scored = materialise(spread(rows).mapInArrow(score, schema))
+    scored = materialise(rows.mapInArrow(score, schema))
     shared.destroy()
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.m", "r.class")
     rare = rare.join(vocabulary.select("word", "n"), "word", "left")
@@ -422,5 +422,5 @@ def score_class_lm(docs: DataFrame, model: Model, vocabulary: DataFrame) -> Data
 
 def class_lm(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
     """All rows scored by a model learnt from nine tenths of them."""
-    docs = spread(docs.select("doc_id", "text"))
+    docs = docs.select("doc_id", "text")
     return score_class_lm(docs, *fit_class_lm(docs, classes, rounds))
