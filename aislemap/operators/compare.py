@@ -35,6 +35,7 @@ TARGET_RANGES = {
 MINIMUMS = {"subcategory_nmi": 0.3, "num_clusters": 20, "price_homogeneity": 0.4}
 LOWER_IS_BETTER = ("davies_bouldin", "noise_percent", "small_clusters_pct")
 NMI_POWER = 1.3
+MINIMUM_METHODS = 2
 BELOW_MINIMUM_FACTOR = 0.6
 RADAR_METRICS = ("silhouette_score", "subcategory_nmi", "avg_top_seller_concentration", "price_homogeneity")
 CATEGORY_METRICS = ("num_clusters", "silhouette_score", "subcategory_nmi", "avg_top_seller_concentration", "price_homogeneity", "cluster_density")
