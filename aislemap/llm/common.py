@@ -132,12 +132,16 @@ def held_out(doc_id) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(text, y) of at most ``most`` labelled rows outside the held-out fifth, chosen by a hash of the id."""
+    """(doc_id, text, y) of at most ``most`` labelled rows outside the held-out fifth, chosen by a hash of the id.
+
+    An id that several documents have gives one row, with the lowest of their texts.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     known = known.orderBy(F.xxhash64(F.lit("labels"), "doc_id"), "doc_id").limit(most)
     # bounded by ``most``
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    joined = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    return joined.groupBy("doc_id").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"), F.max("y").alias("y"))
 
 
 def number_hash(*columns) -> Column:

@@ -2,7 +2,8 @@
 
 Besides a weight, each term has a short vector; the product of two vectors is what the pair
 adds to the score, so that an insult beside the mention of a group may count for more than
-the two alone. Fitted on a bounded sample of labelled rows, applied to every whole text.
+the two alone. Terms are chosen by their own effect, or by that of a product with another
+frequent term on what the others leave unexplained. Fitted on a bounded sample of labelled rows, applied to every whole text.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ SLOTS = 1 << 20
 BEGINNINGS = (4, 5, 6)
 # Terms enter when their counts in toxic and other rows differ by this chi-square, the strongest first.
 CHI_SQUARE, TERMS = 8.0, 4096
+# Pairs of the most frequent terms are asked whether they explain what the machine so far does not:
+# their terms enter too where the score test reaches this many standard deviations.
+FREQUENT, LEAST_ROWS, DEVIATIONS = 2048, 10, 6.0
 FACTORS, ROUNDS, RATE, RIDGE = 4, 60, 0.2, 1e-3
 
 
@@ -77,15 +81,40 @@ def _screened(slots: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return np.sort(order[chi[order] >= CHI_SQUARE])
 
 
+def _paired(slots: list[np.ndarray], y: np.ndarray, machine: Machine) -> np.ndarray:
+    """Slots of frequent terms whose products with another term explain the errors of ``machine``."""
+    terms, rows_of = np.unique(np.concatenate([np.empty(0, np.int64), *slots]), return_counts=True)
+    order = np.lexsort((terms, -rows_of))[:FREQUENT]
+    names = np.sort(terms[order][rows_of[order] >= LEAST_ROWS])
+    held = np.zeros((len(slots), len(names)), np.float32)
+    for row, s in zip(held, slots):
+        row[np.flatnonzero(np.isin(names, s, assume_unique=True))] = 1
+    p = sigmoid(np.array([machine.score(k[k >= 0]) for k in (machine.place[s] for s in slots)], float))
+    errors, spread = (y - p).astype(np.float32)[:, None], (p * (1 - p)).astype(np.float32)[:, None]
+    found = np.abs(held.T @ (held * errors)) >= DEVIATIONS * np.sqrt(np.maximum(held.T @ (held * spread), 1))
+    np.fill_diagonal(found, False)
+    return names[found.any(axis=1)]
+
+
 def fit_machine(slots: list[np.ndarray], y: np.ndarray, rounds: int = ROUNDS, batch: int = 256, seed: int = 1) -> Machine:
-    """Adaptive gradient steps on the logistic loss with a ridge; one label alone leaves a constant."""
-    start = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    nothing = Machine(start, np.empty(0, np.int64), np.empty(0), np.empty((0, FACTORS)))
+    """A machine of the terms that matter by themselves and of those that matter only beside another.
+
+    One label alone leaves a constant.
+    """
+    nothing = np.empty(0, np.int64)
     if len(np.unique(y)) < 2:
-        return nothing
-    terms = _screened(slots, y)
+        return _descend(slots, y, nothing, rounds, batch, seed)
+    alone = _screened(slots, y)
+    machine = _descend(slots, y, alone, rounds, batch, seed)
+    terms = np.union1d(alone, _paired(slots, y, machine))
+    return machine if len(terms) == len(alone) else _descend(slots, y, terms, rounds, batch, seed)
+
+
+def _descend(slots: list[np.ndarray], y: np.ndarray, terms: np.ndarray, rounds: int, batch: int, seed: int) -> Machine:
+    """Adaptive gradient steps on the logistic loss with a ridge, over the slots ``terms``."""
+    start = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     if not len(terms):
-        return nothing
+        return Machine(start, terms, np.empty(0), np.empty((0, FACTORS)))
     rng = np.random.default_rng(seed)
     machine = Machine(start, terms, np.zeros(len(terms)), rng.normal(0, 0.05, (len(terms), FACTORS)))
     known = [p[p >= 0] for p in (machine.place[s] for s in slots)]

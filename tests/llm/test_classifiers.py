@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from aislemap.llm.common import held_out
+from aislemap.llm.common import held_out, labelled
 from aislemap.llm.quality import STATISTICS, Rules, fit_quality, fit_rules, measured, quality, score_quality
 from aislemap.llm.toxicity import fit_machine, fit_toxicity, score_toxicity, toxicity
 
@@ -55,6 +55,30 @@ def test_machine_learns_a_pair_that_no_sum_can():
     assert both > 0 and machine.score(np.array([known[7]])) < 0 and machine.score(np.array([known[9]])) < 0
 
 
+def test_machine_learns_terms_that_say_nothing_alone():
+    rng = np.random.default_rng(1)
+
+    def rows(n):
+        slots, y = [], []
+        for _ in range(n):
+            a, b = rng.random(2) < 0.5
+            slots.append(np.unique([*[7] * int(a), *[9] * int(b), *(100 + rng.integers(0, 500, 20))]).astype(np.int64))
+            y.append(float(a != b))
+        return slots, np.array(y)
+
+    machine = fit_machine(*rows(4000))
+    slots, y = rows(500)
+    right = [(machine.score(k[k >= 0]) > 0) == t for k, t in zip((machine.place[s] for s in slots), y)]
+    assert {7, 9} <= set(machine.terms.tolist()) and np.mean(right) > 0.98
+
+
+def test_repeated_ids_stay_within_the_bound(spark, make):
+    docs = make([(i % 20, f"t{i}") for i in range(400)])
+    labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, toxic int")
+    rows = labelled(docs, labels, "toxic", 5).collect()
+    assert len(rows) == 5 and all(r["text"] == min(f"t{i}" for i in range(400) if i % 20 == r["doc_id"]) for r in rows)
+
+
 @pytest.mark.parametrize("label", ["toxic", "quality"])
 def test_no_labels_one_label_and_odd_rows(spark, make, label):
     fit, score = (fit_toxicity, score_toxicity) if label == "toxic" else (fit_quality, score_quality)
