@@ -1,14 +1,17 @@
 """Shards that all match the mixture: proportional stratified interleaving.
 
 Seeded-shuffled rows are ranked within their source, all rows are put in the order of their
-fractional rank, and that order is cut into shards of equal counts.
+fractional rank, and that order is cut into shards of equal counts. The order is taken from
+ranges of (fractional rank, source), so sources of one row, which all have the same rank, are
+spread over tasks like any others.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from aislemap.llm.common import cell_bits, seeded_rank, whole_row_hash
+from aislemap.llm.common import seeded_rank, whole_row_hash
+from aislemap.session import materialise, small_side
 
 SHARDS = 40
 SEED = "shards"
@@ -34,14 +37,16 @@ def interleave(docs: DataFrame, shards: int = SHARDS, source: str = "source", do
     ranked = seeded_rank(mixed, ["source"], "hash", ["id", "tie"], n)
     ranked = ranked.withColumn("part", (F.col("rank") + 0.5) / F.col("of"))
 
-    cells = 1 << cell_bits(n)
-    ranked = ranked.withColumn("cell", F.least(F.floor(F.col("part") * cells), F.lit(cells - 1).cast("long")))
-    # as many rows as cells, which grow with the root of the documents
-    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranked.groupBy("cell").count().withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    inside = Window.partitionBy("cell").orderBy("part", F.col("source").asc_nulls_last(), "hash", "id", "tie")
-    placed = ranked.withColumn("place", F.row_number().over(inside)).join(starts, "cell")
-    placed = placed.withColumn("at", F.col("start") + F.col("place") - 1).withColumn("cut", F.expr(f"(at * {shards}) div {max(n, 1)}"))
+    # no two rows share part and source, so ranges of both have no group that cannot be cut
+    order = [F.col("part"), F.col("source").asc_nulls_last()]
+    dealt = ranked.repartitionByRange(*order).sortWithinPartitions(*order)
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = materialise(dealt.select("row", F.spark_partition_id().alias("piece"), inside.alias("place")))
+    # one row per range
+    before = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("piece").count().withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    placed = dealt.join(small_side(starts, 2), "piece").withColumn("at", F.col("start") + F.col("place"))
+    placed = placed.withColumn("cut", F.expr(f"(at * {shards}) div {max(n, 1)}"))
     first = F.expr(f"(cut * {n} + {shards - 1}) div {shards}")
     keep = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
     return placed.select(*[F.col(f"row.`{c}`") for c in keep], F.col("cut").cast("int").alias("shard"), (F.col("at") - first).alias("slot"))

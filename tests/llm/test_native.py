@@ -73,6 +73,22 @@ def test_shards(make):
     assert interleave(make([])).count() == 0
 
 
+def test_shards_of_tiny_sources(make):
+    # sources of one row all have the fractional rank 0.5, those of two rows 0.25 and 0.75
+    rows = [(i, f"t{i}", f"one {i:04d}") for i in range(1500)] + [(5000 + i, f"u{i}", f"two {i // 2:04d}") for i in range(400)] + [(9000, "n", None)] * 3
+    out = interleave(make(rows)).collect()
+    hashed = lambda i: int(hashlib.md5(f"shards|{i}".encode()).hexdigest()[:15], 16)
+    sources = defaultdict(list)
+    for i, _, s in rows:
+        sources[s].append((hashed(i), i))
+    order = sorted(((k + 0.5) / len(m), s is None, s or "", i) for s, m in sources.items() for k, (_, i) in enumerate(sorted(m)))
+    want = Counter()
+    for at, (_, _, _, i) in enumerate(order):
+        shard = at * 40 // len(rows)
+        want[(i, shard, at - (shard * len(rows) + 39) // 40)] += 1
+    assert Counter((r["doc_id"], r["shard"], r["slot"]) for r in out) == want
+
+
 def test_license_scan(make):
     phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
     rng = random.Random(3)
