@@ -122,18 +122,23 @@ BLOCK_ROWS = 1024
 @dataclass
 class Blocks:
     points: DataFrame  # id, vec and further columns, with block
-    summary: pd.DataFrame  # block, pivot, radius, rows
+    summary: pd.DataFrame  # block, pivot, radius, rows, least size
     pivots: np.ndarray
 
 
-def make_blocks(df: DataFrame, id_col: str = "id", vec: str = "vec", block_rows: int = BLOCK_ROWS) -> Blocks:
+def make_blocks(df: DataFrame, id_col: str = "id", vec: str = "vec", block_rows: int | None = None, rows: int | None = None) -> Blocks:
     """Assign every point to its nearest pivot and cut each cell into blocks of about ``block_rows``.
 
     Pivots are points drawn in hash order, so dense regions get many of them and
-    no cell grows with the data's skew. Their number grows with the root of the rows.
+    no cell grows with the data's skew. Their number grows with the root of the
+    ``rows``, which are counted if not given.
     """
-    spark = df.sparkSession
-    n = df.count()
+    spark, block_rows = df.sparkSession, block_rows or BLOCK_ROWS
+    n = df.count() if rows is None else rows
+    if n <= block_rows:
+        # one block has no other to be told from
+        only = pd.DataFrame({"block": [0], "cell": [0], "radius": [0.0], "rows": [n], "least": [1]})
+        return Blocks(df.withColumn("block", F.lit(0).cast("bigint")), only, np.zeros((1, 1)))
     m = int(max(1, min(n // block_rows, np.sqrt(n))))
     chosen = sample_rows(df.select(id_col, vec), m, 7, id_col).toPandas()
     pivots = np.array(chosen[vec].tolist(), dtype=float).reshape(len(chosen), -1)
@@ -149,41 +154,53 @@ def make_blocks(df: DataFrame, id_col: str = "id", vec: str = "vec", block_rows:
 
     placed = df.withColumn("_n", nearest(vec)).select("*", "_n.cell", "_n.far").drop("_n")
     placed = materialise(placed)
-    sizes = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    split = F.create_map(*[F.lit(int(x)) for c, s in sizes.items() for x in (c, -(-s // block_rows))])
-    sub = F.pmod(F.xxhash64(id_col), split[F.col("cell")])
-    placed = placed.withColumn("block", F.col("cell").cast("bigint") * 1_000_000 + sub)
-    summary = placed.groupBy("block", "cell").agg(F.max("far").alias("radius"), F.count("*").alias("rows")).toPandas()
+    counts = placed.groupBy("cell").agg(F.count("*").alias("n"))
+    pieces = [(r["cell"], -(-r["n"] // block_rows)) for r in counts.collect()]
+    # a row per pivot, so at most the root of the rows
+    split = F.broadcast(spark.createDataFrame(pieces, "cell int, pieces long"))
+    sub = F.pmod(F.xxhash64(id_col), F.col("pieces"))
+    placed = placed.join(split, "cell").withColumn("block", F.col("cell").cast("bigint") * 1_000_000 + sub).drop("pieces")
+    least = F.min("size") if "size" in df.columns else F.lit(1)
+    summary = placed.groupBy("block", "cell").agg(F.max("far").alias("radius"), F.count("*").alias("rows"), least.alias("least")).toPandas()
     return Blocks(placed.drop("cell", "far"), summary.sort_values("block").reset_index(drop=True), pivots)
 
 
 def block_search(
     blocks: Blocks, kernel: str, k: int = 1, id_col: str = "id", vec: str = "vec", extra: tuple[str, ...] = (),
-    bound: str | None = None,
+    bound: str | None = None, ask: str | None = None,
 ) -> DataFrame:
     """(id, other, value): the ``k`` best partners of every point, exactly.
 
     Kernels: ``knn`` (distance), ``ward`` (merge cost from centroids and sizes in
     ``extra[0]``), ``foreign`` (mutual reachability to another component, with core
     distances and components in ``extra``). Ties go to the lower pair of ids.
-    ``bound`` names a column with a known upper bound of the best value.
+    ``bound`` names a column with a known upper bound of the best value, ``ask`` a
+    boolean column: only points where it is true search, among all points.
     """
     spark = blocks.points.sparkSession
     info = blocks.summary
     meta = spark.sparkContext.broadcast(
-        (info["block"].to_numpy(), info["cell"].to_numpy(), info["radius"].to_numpy(), blocks.pivots)
+        (info["block"].to_numpy(), info["cell"].to_numpy(), info["radius"].to_numpy(), info["least"].to_numpy(), blocks.pivots)
     )
-    cols = [id_col, vec, *extra, *([bound] if bound else [])]
+    cols = [id_col, vec, *extra, *([bound] if bound else []), *([ask] if ask else [])]
     packed = blocks.points.groupBy("block").agg(
         *[F.collect_list(c).alias(c) for c in cols]
     )
-    packed = materialise(packed)
+    single = len(info) == 1  # then nothing is left to compare, and the block is read once
+    packed = packed if single else materialise(packed)
 
     def prepare(row, prefix: str):
         ids = np.asarray(row[prefix + id_col], dtype=np.int64)
         x = np.stack([np.asarray(v, dtype=float) for v in row[prefix + vec]])
         return ids, x, [np.asarray(row[prefix + e]) for e in extra]
 
+    def asking(row, here):
+        """The points of a block that search."""
+        if not ask:
+            return here
+        on = np.asarray(row[ask], dtype=bool)
+        return here[0][on], here[1][on], [e[on] for e in here[2]]
+
     def values(d, left, right):
         """Distances to the value that is minimised."""
         if kernel == "knn":
@@ -241,7 +258,7 @@ def block_search(
 
     def reach(block: int, far: np.ndarray) -> np.ndarray:
         """Least possible distance from a block to every block."""
-        names, cells, radius, pivots = meta.value
+        names, cells, radius, _, pivots = meta.value
         at = int(np.searchsorted(names, block))
         gap = np.sqrt(((pivots[cells] - pivots[cells[at]]) ** 2).sum(1))
         return np.maximum(gap - radius - radius[at], 0.0)
@@ -252,28 +269,34 @@ def block_search(
         for pdf in batches:
             for row in pdf.to_dict("records"):
                 here = prepare(row, "")
-                limit = np.asarray(row[bound], dtype=float) if bound else np.full(len(here[0]), np.inf)
-                r, o, v = keep(*best(here, here, limit), here[0], k)
+                mine = asking(row, here)
+                if not len(mine[0]):
+                    continue
+                limit = np.full(len(mine[0]), np.inf)
+                if bound:
+                    given = np.asarray(row[bound], dtype=float)
+                    limit = given[np.asarray(row[ask], dtype=bool)] if ask else given
+                r, o, v = keep(*best(mine, here, limit), mine[0], k)
                 worst = limit.copy()
-                full = np.bincount(r, minlength=len(here[0])) >= k
-                last = np.full(len(here[0]), -np.inf)
+                full = np.bincount(r, minlength=len(mine[0])) >= k
+                last = np.full(len(mine[0]), -np.inf)
                 np.maximum.at(last, r, v)
                 worst = np.where(full, np.minimum(last, worst), worst)
                 low = reach(row["block"], worst)
                 if kernel == "ward":
-                    # the partner's size is unknown: one is the least
-                    smallest = float(here[2][0].min())
-                    low = smallest / (smallest + 1.0) * low * low
+                    # the cost grows with both sizes
+                    smallest, theirs = float(mine[2][0].min()), meta.value[3].astype(float)
+                    low = smallest * theirs / (smallest + theirs) * low * low
                 targets = names[(low <= worst.max() * (1 + 1e-9)) & (names != row["block"])]
                 yield pd.DataFrame(
-                    {"block": [row["block"]], "targets": [targets.tolist()], "ids": [here[0][r].tolist()], "others": [o.tolist()], "vals": [v.tolist()], "worst": [worst.tolist()]}
+                    {"block": [row["block"]], "targets": [targets.tolist()], "ids": [mine[0][r].tolist()], "others": [o.tolist()], "vals": [v.tolist()], "worst": [worst.tolist()]}
                 )
 
     local = packed.mapInPandas(
         own_block,
         "block bigint, targets array<bigint>, ids array<bigint>, others array<bigint>, vals array<double>, worst array<double>",
     )
-    local = materialise(local)
+    local = local if single else materialise(local)
     inside = local.select(F.explode(F.arrays_zip("ids", "others", "vals")).alias("z")).select(
         F.col("z.ids").alias("id"), F.col("z.others").alias("other"), F.col("z.vals").alias("value")
     )
@@ -284,11 +307,11 @@ def block_search(
     def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                here, there = prepare(row, ""), prepare(row, "r_")
-                r, o, v = keep(*best(here, there, np.asarray(row["worst"], dtype=float)), here[0], k)
-                yield pd.DataFrame({"id": here[0][r], "other": o, "value": v})
+                mine, there = asking(row, prepare(row, "")), prepare(row, "r_")
+                r, o, v = keep(*best(mine, there, np.asarray(row["worst"], dtype=float)), mine[0], k)
+                yield pd.DataFrame({"id": mine[0][r], "other": o, "value": v})
 
-    found = inside.unionByName(pairs.mapInPandas(across, "id bigint, other bigint, value double"))
+    found = inside if single else inside.unionByName(pairs.mapInPandas(across, "id bigint, other bigint, value double"))
     low_id, high_id = F.least("id", "other"), F.greatest("id", "other")
     order = Window.partitionBy("id").orderBy(F.round("value", 12), low_id, high_id)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

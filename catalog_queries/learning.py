@@ -189,6 +189,25 @@ def c8(spark, sf_dir):
     return rounded(ward.merge_tree(ward.ward_tree(vectors(spark, sf_dir))))
 
 
+@query("c7_ward_totals", with_(VEC) + """, f AS (SELECT i, sum(x * x) - sum(x) * sum(x) / count(*) AS squares, count(*) AS n FROM (SELECT generate_subscripts(vec, 1) AS i, unnest(vec) AS x FROM vec) GROUP BY 1)
+SELECT max(n)::BIGINT AS n_rows, max(n)::BIGINT - 1 AS n_merges, max(n)::BIGINT AS last_size, round(sum(squares), 6) AS squares, 10::BIGINT AS n_clusters, 0.0::DOUBLE AS cut_gap FROM f""")
+def c7_totals(spark, sf_dir):
+    """What any Ward tree keeps: its costs sum to all squares around the mean, those below a cut to the squares inside the clusters."""
+    rows = vectors(spark, sf_dir)
+    tree = ward.ward_tree(rows)
+    cut = materialise(rows.join(ward.cut_tree(tree, 10).withColumnRenamed("id", "listing_id"), "listing_id").select("cluster", "vec"))
+    axes = cut.select("cluster", F.posexplode("vec").alias("i", "x")).groupBy("cluster", "i").agg(F.var_pop("x").alias("v"), F.count("*").alias("n"))
+    within = axes.agg(F.sum(F.col("v") * F.col("n")).alias("within"))
+    cost = F.col("height") * F.col("height") / 2
+    merges = tree.merges.agg(
+        F.count("*").alias("n_merges"), F.max("size").alias("last_size"), F.sum(cost).alias("squares"),
+        F.sum(F.when(F.col("step") <= tree.n_leaves - 10, cost)).alias("below"),
+    )
+    out = merges.withColumn("within", within.scalar()).withColumn("n_clusters", cut.agg(F.count_distinct("cluster")).scalar())
+    gap = F.round(F.abs(F.col("within") - F.col("below")) / F.col("squares"), 6)
+    return out.select((F.col("n_merges") + 1).alias("n_rows"), "n_merges", "last_size", F.round("squares", 6).alias("squares"), "n_clusters", gap.alias("cut_gap"))
+
+
 @query("c13_topic_model")
 def c13(spark, sf_dir):
     rows, _ = topics.topic_model(products(spark, sf_dir).select("listing_id", "title"), "title")

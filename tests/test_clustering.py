@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from aislemap.operators import density, kmeans, search, vectors, ward
+from aislemap.operators import density, kmeans, vectors, ward
 
 
 def points(n=70, d=3, seed=3, groups=4):
@@ -64,11 +64,13 @@ def brute_cut(x, k):
     return set(label.values())
 
 
-@pytest.mark.parametrize("small_rows", [4096, 0])
-def test_ward_tree(spark, monkeypatch, small_rows):
-    monkeypatch.setattr(search, "SMALL_ROWS", small_rows)
-    x = points(24 if small_rows else 14)
+@pytest.mark.parametrize("block_rows", [1024, 6])
+def test_ward_tree(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", block_rows)
+    x = points(24)
     tree = ward.ward_tree(frame(spark, x))
+    # kept partners: after the first round only some clusters search
+    assert tree.searched[0] == (24, 24) and sum(a for _, a in tree.searched[1:]) < sum(n for n, _ in tree.searched[1:])
     got = [(r["height"], r["size"]) for r in tree.merges.orderBy("step").collect()]
     want = brute_ward(x)
     assert [s for _, s in got] == [s for _, s, _ in want]
@@ -84,6 +86,15 @@ def test_ward_tree(spark, monkeypatch, small_rows):
     assert sorted(used) == sorted(list(range(len(x))) + [len(x) - 1 + s for s in range(1, len(x) - 1)])
 
 
+def test_ward_with_ties_and_copies(spark):
+    # a grid, where most costs are equal, and copies of one point; any order of ties gives a tree of all rows
+    x = np.array([[i, j] for i in range(5) for j in range(4)] + [[2, 2]] * 8, dtype=float)
+    rows = ward.ward_tree(frame(spark, x)).merges.orderBy("step").collect()
+    assert len(rows) == len(x) - 1 and rows[-1]["size"] == len(x)
+    assert [r["height"] for r in rows[:8]] == [0.0] * 8
+    assert sum(r["height"] ** 2 for r in rows) / 2 == pytest.approx(((x - x.mean(0)) ** 2).sum())
+
+
 def test_ward_groups_when_large(spark):
     x = points(60)
     out = ward.ward_cluster(frame(spark, x), 3, max_nodes=12)
@@ -178,9 +189,9 @@ def brute_hdbscan(x, size, samples, selection):
     return member, strength
 
 
-@pytest.mark.parametrize("selection,size,small_rows", [("eom", 5, 4096), ("leaf", 4, 4096), ("eom", 6, 0)])
-def test_density_matches_brute_force(spark, monkeypatch, selection, size, small_rows):
-    monkeypatch.setattr(search, "SMALL_ROWS", small_rows)
+@pytest.mark.parametrize("selection,size,block_rows", [("eom", 5, 1024), ("leaf", 4, 1024), ("eom", 6, 12)])
+def test_density_matches_brute_force(spark, monkeypatch, selection, size, block_rows):
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", block_rows)
     x = points(60, 2, seed=11)
     member, strength = brute_hdbscan(x, size, 3, selection)
     assert len(set(member.values())) >= 2
