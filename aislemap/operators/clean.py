@@ -39,12 +39,20 @@ def require_fields(df: DataFrame, fields: Sequence[str] = REQUIRED_FIELDS) -> Da
     return df.dropna(subset=list(fields))
 
 
-def drop_exact_duplicates(df: DataFrame, id_col: str | None = "listing_id") -> DataFrame:
-    """One row per distinct listing over all business columns; the lowest id stays."""
+def drop_exact_duplicates(df: DataFrame, id_col: str | None = "listing_id", long_texts: Sequence[str] = ("description",)) -> DataFrame:
+    """One row per distinct listing over all business columns; the lowest id stays.
+
+    Long texts are told apart by their SHA-256, so only the digest is compared and shuffled
+    as a key; the text itself travels once, and not at all if nothing reads it.
+    """
     business = [c for c in df.columns if c != id_col]
-    if id_col not in df.columns:
+    long = [c for c in business if c in long_texts]
+    ids = [F.min(id_col).alias(id_col)] if id_col in df.columns else []
+    if not long and not ids:
         return df.dropDuplicates(business)
-    return df.groupBy(*business).agg(F.min(id_col).alias(id_col)).select(*df.columns)
+    keys = [F.unhex(F.sha2(F.col(c).cast("string"), 256)).alias(f"_{c}_digest") if c in long else F.col(c) for c in business]
+    # equal digests have equal texts, so any of them stands for all
+    return df.groupBy(*keys).agg(*ids, *[F.any_value(c).alias(c) for c in long]).select(*df.columns)
 
 
 def filter_small_groups(df: DataFrame, key: str, min_rows: int = 30) -> DataFrame:
