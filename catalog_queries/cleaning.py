@@ -50,7 +50,8 @@ def _scratch(spark: SparkSession, name: str) -> str:
 @query("s1_read_listings", with_(RAW) + "SELECT listing_id, title, md5(description) AS description_md5, price, seller, division, category, subcategory FROM raw")
 def s1(spark, sf_dir):
     path = _scratch(spark, "csv")
-    raw(spark, sf_dir, True).drop("cluster").write.option("header", True).option("escape", '"').csv(path)
+    # every listing carries the whole text of its document, so the text outgrows the tables; multi-line CSV is not split anyway
+    raw(spark, sf_dir, True).drop("cluster").write.option("header", True).option("escape", '"').option("compression", "gzip").csv(path)
     df = io.read_listings(spark, path)
     return df.select("listing_id", "title", F.md5("description").alias("description_md5"), "price", "seller", "division", "category", "subcategory")
 
