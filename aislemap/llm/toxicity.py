@@ -28,6 +28,8 @@ CHI_SQUARE, TERMS = 8.0, 4096
 # Pairs of the most frequent terms are asked whether they explain what the machine so far does not:
 # their terms enter too where the score test reaches this many standard deviations.
 FREQUENT, LEAST_ROWS, DEVIATIONS = 2048, 10, 6.0
+# Rows whose terms the driver holds side by side.
+BLOCK = 1024
 FACTORS, ROUNDS, RATE, RIDGE = 4, 60, 0.2, 1e-3
 
 
@@ -68,12 +70,19 @@ class Machine:
         return self.start + float(self.weights[known].sum()) + pairs
 
 
+def _rows_of(slots: list[np.ndarray]) -> np.ndarray:
+    """Rows that hold each slot, added up ``BLOCK`` rows at a time."""
+    out = np.zeros(SLOTS)
+    for at in range(0, len(slots), BLOCK):
+        out += np.bincount(np.concatenate(slots[at : at + BLOCK]), minlength=SLOTS)
+    return out
+
+
 def _screened(slots: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Slots whose document counts differ between the labels."""
     n1, n = y.sum(), len(y)
-    empty = np.empty(0, np.int64)
-    here = np.bincount(np.concatenate([empty, *[s for s, t in zip(slots, y) if t]]), minlength=SLOTS).astype(float)
-    both = np.bincount(np.concatenate([empty, *slots]), minlength=SLOTS).astype(float)
+    here = _rows_of([s for s, t in zip(slots, y) if t])
+    both = _rows_of(slots)
     other = both - here
     cross = (here * (n - n1 - other) - other * (n1 - here)) ** 2
     chi = n * cross / np.maximum(both * (n - both) * n1 * (n - n1), 1)
@@ -83,15 +92,19 @@ def _screened(slots: list[np.ndarray], y: np.ndarray) -> np.ndarray:
 
 def _paired(slots: list[np.ndarray], y: np.ndarray, machine: Machine) -> np.ndarray:
     """Slots of frequent terms whose products with another term explain the errors of ``machine``."""
-    terms, rows_of = np.unique(np.concatenate([np.empty(0, np.int64), *slots]), return_counts=True)
-    order = np.lexsort((terms, -rows_of))[:FREQUENT]
-    names = np.sort(terms[order][rows_of[order] >= LEAST_ROWS])
-    held = np.zeros((len(slots), len(names)), np.float32)
-    for row, s in zip(held, slots):
-        row[np.flatnonzero(np.isin(names, s, assume_unique=True))] = 1
-    p = sigmoid(np.array([machine.score(k[k >= 0]) for k in (machine.place[s] for s in slots)], float))
-    errors, spread = (y - p).astype(np.float32)[:, None], (p * (1 - p)).astype(np.float32)[:, None]
-    found = np.abs(held.T @ (held * errors)) >= DEVIATIONS * np.sqrt(np.maximum(held.T @ (held * spread), 1))
+    rows_of = _rows_of(slots)
+    order = np.lexsort((np.arange(SLOTS), -rows_of))[:FREQUENT]
+    names = np.sort(order[rows_of[order] >= LEAST_ROWS])
+    errors, spread = np.zeros((len(names), len(names))), np.zeros((len(names), len(names)))
+    for at in range(0, len(slots), BLOCK):
+        part = slots[at : at + BLOCK]
+        held = np.zeros((len(part), len(names)), np.float32)
+        for row, s in zip(held, part):
+            row[np.flatnonzero(np.isin(names, s, assume_unique=True))] = 1
+        p = sigmoid(np.array([machine.score(k[k >= 0]) for k in (machine.place[s] for s in part)], float))
+        errors += held.T @ (held * (y[at : at + BLOCK] - p).astype(np.float32)[:, None])
+        spread += held.T @ (held * (p * (1 - p)).astype(np.float32)[:, None])
+    found = np.abs(errors) >= DEVIATIONS * np.sqrt(np.maximum(spread, 1))
     np.fill_diagonal(found, False)
     return names[found.any(axis=1)]
 
@@ -150,8 +163,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Ma
     """A machine fitted on at most ``most`` labelled rows outside the held-out fifth. No labels give the score 0.5."""
     rows = labelled(docs, labels, "toxic", most).select("doc_id", "y", F.arrow_udf(_slots, "array<int>")("text").alias("slots")).toArrow()
     rows = rows.sort_by([("doc_id", "ascending")])
-    y = rows["y"].to_numpy().astype(float) if len(rows) else np.empty(0)
-    return fit_machine([np.array(s, np.int64) for s in rows["slots"].to_pylist()], y)
+    if not len(rows):
+        return fit_machine([], np.empty(0))
+    # views of one array: as Python numbers they would fill the driver
+    lists = rows["slots"].combine_chunks()
+    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+    return fit_machine(np.split(lists.flatten().to_numpy(), ends[:-1]), rows["y"].to_numpy().astype(float))
 
 
 def score_toxicity(docs: DataFrame, machine: Machine, text: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -102,3 +102,22 @@ def test_held_out_is_the_crc_rule(spark, make):
 def test_rules_without_conditions_are_a_constant(spark, make):
     out = score_quality(make([(1, "a")]), Rules(0.0, [])).first()
     assert out["score"] == 0.5
+
+
+def test_pair_test_holds_few_rows_at_once():
+    import tracemalloc
+
+    from aislemap.llm.toxicity import FACTORS, Machine, _paired
+
+    rng = np.random.default_rng(3)
+    slots = [np.unique(rng.integers(0, 1200, 40)).astype(np.int32) for _ in range(12_000)]
+    y = (rng.random(len(slots)) < 0.3).astype(float)
+    machine = Machine(0.0, np.empty(0, np.int64), np.empty(0), np.empty((0, FACTORS)))
+    tracemalloc.start()
+    try:
+        _paired(slots, y, machine)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # one matrix of all rows and terms alone would take 57 MB, and three were held
+    assert peak < 110 << 20
