@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from aislemap.session import small_side
 
 # The ASCII characters that separate words, in Spark and in bytes.
 WORD_SEPARATORS = "".join(chr(i) for i in [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
@@ -177,6 +178,8 @@ def seeded_rank(df: DataFrame, keys: list[str], order: str, ties: list, rows: in
         # the counts are joined first, so that the rows need one exchange only
         given = per_key.select(*[F.col(k).alias(f"g{h}") for k, h in zip(keys, here)], *more)
         counts = counts.join(given, reduce(and_, [F.col(f"c{k}").eqNullSafe(F.col(f"g{k}")) for k in here])).drop(*[f"g{k}" for k in here])
+    # a row per key and cell, so that the rows are exchanged once, for the ranks
+    counts = small_side(counts, len(counts.columns))
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"c{k}")) for k in here], F.col("cell") == F.col("ccell"))
     inside = Window.partitionBy(*here, "cell").orderBy(F.col(f"row.{order}"), *[F.col(f"row.{t}") for t in ties])
     ranked = packed.withColumn("place", F.row_number().over(inside)).join(counts, same)

@@ -80,3 +80,20 @@ def test_documents_repeat_and_names_clash(make):
     got = Counter((r["doc_id"], r["text"]) for r in mixed_documents(docs).collect())
     assert got == +want
     assert mix(make([])).count() == 0 and mix(make([(1, None, None)])).first()["target"] == 0
+
+
+def test_ranks_exchange_the_rows_once(spark):
+    from pyspark.sql import functions as F
+
+    from aislemap.llm.common import number_hash, seeded_rank
+
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 50).alias("text"), (F.col("id") % 3).cast("string").alias("source"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ranked = seeded_rank(docs.withColumn("hash", number_hash(F.lit("x"), "doc_id")), ["source"], "hash", ["doc_id"], 400)
+        plan = ranked._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r["source"], r["rank"]) for r in ranked.collect()) == [(str(s), i) for s in range(3) for i in range(134 - (s > 0))]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
