@@ -77,3 +77,14 @@ def test_run_facts_count_inside_the_row(spark):
     want = {i: (sum(c.values()), len(c), min(c), max(c)) for i, c in runs_by_id(rows, 1, 5).items() if c}
     assert {r[0]: tuple(r)[1:] for r in facts.collect()} == want
     assert "Generate" not in facts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_feature_vectors_write_the_texts_once(spark, monkeypatch):
+    rows = [(i, f"red case {i % 3}", f"long text of part {i % 4}", float(i + 1), "s") for i in range(12)]
+    df = spark.createDataFrame(rows, "listing_id long, title string, description string, price double, seller string")
+    written, write = [], features.materialise
+    monkeypatch.setattr(features, "materialise", lambda table: written.append(table.columns) or write(table))
+    small = {"ngram": (1, 2), "min_df": 2, "max_features": 8}
+    out, terms = features.feature_vectors(df, title=small, description=small, min_seller_rows=1)
+    assert sum("description" in columns for columns in written) == 1
+    assert out.count() == 12 and 0 < len(terms) <= 8
