@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, functions as F
 from aislemap.functions.vector import distance, squared_distance, squared_norm
 from aislemap.operators.clean import text_lengths
 from aislemap.operators.describe import cluster_centroids, crosstab_long, sample_key, top_n
+from aislemap.operators.packing import matrix, meeting, numbers, pack
 from aislemap.operators.partition import contingency, partition_scores
 from aislemap.operators.quantiles import exact_median
 from aislemap.session import materialise, small_side
 
 _ALL = "_all"
 
-# Silhouettes compare blocks of about this many rows.
+# Silhouettes compare parts of at most about this many rows.
 SILHOUETTE_BLOCK = 4096
 
 
@@ -208,59 +209,112 @@ def davies_bouldin(df: DataFrame, vec: str = "vec", cluster: str = "cluster") ->
     return centers.select(worst.alias("w")).agg(F.avg("w").alias("davies_bouldin"))
 
 
+def _parts(sizes: list[tuple], limit: int) -> list[tuple]:
+    """(cluster, place, part, pieces, rows) of each (cluster, rows): parts of whole clusters; larger clusters are cut into parts of their own."""
+    out, part, filled = [], 0, 0
+    for place, (name, n) in enumerate(sizes):
+        if filled and filled + n > limit:
+            part, filled = part + 1, 0
+        pieces = -(-n // limit)
+        out.append((name, place, part, pieces, n))
+        filled += n
+        if pieces > 1:
+            part, filled = part + pieces, 0
+    return out
+
+
 def silhouette_rows(
     df: DataFrame, vec: str = "vec", cluster: str = "cluster", id_col: str = "listing_id", scored: DataFrame | None = None
 ) -> DataFrame:
     """(id, cluster, silhouette) by plain Euclidean distance to every row.
 
-    Rows are packed into blocks of bounded size, and every block of scored rows meets every
-    block once. A task holds two blocks and hands on one sum of distances per row and cluster.
+    Rows are packed into parts of bounded size that hold whole clusters where these are small enough, and
+    every part of scored rows meets every part once. Parts are read where they meet, not shuffled. A task
+    hands on, per row, the sum over its own cluster, the least mean over the others it has wholly
+    seen, and one sum for each cluster that is cut.
     ``scored`` limits the rows that get a value (by id), never the rows they are compared with.
     """
+    spark, limit = df.sparkSession, SILHOUETTE_BLOCK
     points = materialise(df.select(F.col(id_col).alias("i"), F.col(cluster).alias("k"), F.col(vec).alias("x")))
-    blocks = max(1, -(-points.count() // SILHOUETTE_BLOCK))
-    sizes = {r["k"]: r["n"] for r in points.groupBy("k").agg(F.count("*").alias("n")).collect()}
-    names = sorted(sizes)
-    shared = df.sparkSession.sparkContext.broadcast(names)
-    own = points if scored is None else points.join(scored.select(F.col(id_col).alias("i")), "i", "left_semi")
+    kind = points.schema["k"].dataType.simpleString()
+    sizes = sorted((r["k"], r["n"]) for r in points.groupBy("k").agg(F.count("*").alias("n")).collect())
+    counts = np.array([n for _, n in sizes], dtype=float)
+    # clusters that several parts hold, by their place among all clusters
+    cut = np.flatnonzero(counts > limit)
+    shared, names = spark.sparkContext.broadcast((counts, cut)), ["part", "i", "place", "own", "best", "s"]
+    dealt = F.broadcast(spark.createDataFrame(_parts(sizes, limit), f"k {kind}, place int, part long, pieces long, n long"))
 
     def packed(rows: DataFrame) -> DataFrame:
-        block = F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int").alias("block")
-        return rows.groupBy(block).agg(*[F.collect_list(c).alias(c) for c in ("i", "k", "x")])
-
-    left = packed(own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).drop("block")
-    right = packed(points).select(F.col("block").alias("other"), F.col("i").alias("i2"), F.col("k").alias("k2"), F.col("x").alias("x2"))
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = np.array(shared.value)
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                x, y = np.stack(row["x"]), np.stack(row["x2"])
-                ids, others = np.asarray(row["i"]), np.asarray(row["i2"])
-                member = np.zeros((len(y), len(names)))
-                member[np.arange(len(y)), np.searchsorted(names, row["k2"])] = 1.0
+        piece = F.col("part") + F.pmod(F.xxhash64("i"), F.col("pieces"))
+        return pack(rows.join(dealt, "k").select(piece.alias("part"), "i", "place", "x"), "part", "x")
+
+    right = packed(points)
+    left = right if scored is None else packed(points.join(scored.select(F.col(id_col).alias("i")), "i", "left_semi"))
+    met = meeting(left, right.select(F.col("place").alias("place2"), F.col("x").alias("x2")))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, cut = shared.value
+        held = None
+
+        def handed(held) -> pa.RecordBatch:
+            part, ids, own, _, *found = held
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), c) for c in (ids, pa.array(own))]
+            return pa.RecordBatch.from_arrays([pa.array([part]), *lists, *[pa.array([m.tobytes()], pa.binary()) for m in found]], names=names)
+
+        for batch in batches:
+            cols = {name: batch.column(name) for name in batch.schema.names}
+            for row in range(batch.num_rows):
+                part = cols["part"][row].as_py()
+                if held is None or held[0] != part:
+                    if held is not None:
+                        yield handed(held)
+                    own = numbers(cols["place"], row)
+                    x = matrix(cols["x"], row, len(own))
+                    held = part, cols["i"][row].values, own, x, np.zeros(len(own)), np.full(len(own), np.inf), np.zeros((len(own), len(cut)))
+                _, _, own, x, mine, best, apart = held
+                theirs = numbers(cols["place2"], row)
+                y = matrix(cols["x2"], row, len(theirs))
+                order = np.argsort(theirs, kind="stable")
+                y, theirs = y[order], theirs[order]
+                starts = np.flatnonzero(np.r_[True, theirs[1:] != theirs[:-1]])
+                there = theirs[starts]
+                whole = counts[there] <= limit
                 norms = (y**2).sum(axis=1)
-                for start in range(0, len(x), 512):
-                    part = x[start : start + 512]
-                    mine = (part**2).sum(axis=1)
-                    d2 = mine[:, None] + norms[None, :] - 2 * part @ y.T
+                turned = np.vstack([-2 * y.T, np.ones(len(y)), norms])
+                for s in range(0, len(x), 256):
+                    at = slice(s, s + 256)
+                    near, square = x[at], (x[at] ** 2).sum(axis=1)
+                    d2 = np.column_stack([near, square, np.ones(len(near))]) @ turned
                     # the expansion loses digits for near copies: those are measured directly
-                    r, c = np.nonzero(d2 < 1e-6 * (mine[:, None] + norms[None, :]))
-                    d2[r, c] = ((part[r] - y[c]) ** 2).sum(axis=1)
-                    d2[ids[start : start + 512][:, None] == others[None, :]] = 0.0
-                    total = np.sqrt(np.maximum(d2, 0)) @ member
-                    yield pd.DataFrame({"i": ids[start : start + 512], "k": np.asarray(row["k"])[start : start + 512], "s": list(total)})
-
-    schema = f"i {points.schema['i'].dataType.simpleString()}, k {points.schema['k'].dataType.simpleString()}, s array<double>"
-    pairs = left.join(right, "other").mapInPandas(sums, schema)
-    total = pairs.groupBy("i", "k").agg(Summarizer.sum(array_to_vector("s")).alias("s")).withColumn("s", vector_to_array("s"))
-    at = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("k")).cast("int")
-    counts = F.array(*[F.lit(float(sizes[n])) for n in names])
-    total = total.withColumn("at", at).withColumn("n", F.element_at(counts, F.col("at")))
-    total = total.withColumn("a", F.element_at("s", F.col("at")) / F.greatest(F.col("n") - 1, F.lit(1.0)))
-    means = F.zip_with("s", counts, lambda d, n: d / n)
-    others = F.filter(means, lambda m, i: i + 1 != F.col("at"))
-    total = total.withColumn("b", F.array_min(others)).withColumn("top", F.greatest("a", "b"))
+                    r, c = np.divmod(np.flatnonzero(d2 <= 1e-6 * (square.max() + norms.max())), len(y))
+                    close = d2[r, c] <= 1e-6 * (square[r] + norms[c])
+                    r, c = r[close], c[close]
+                    d2[r, c] = ((near[r] - y[c]) ** 2).sum(axis=1)
+                    total = np.add.reduceat(np.sqrt(d2, out=d2), starts, axis=1)
+                    same = own[at][:, None] == there[None, :]
+                    mine[at] += np.where(same & whole, total, 0.0).sum(axis=1)
+                    best[at] = np.minimum(best[at], np.where(same | ~whole, np.inf, total / counts[there]).min(axis=1))
+                    apart[at, np.searchsorted(cut, there[~whole])] += total[:, ~whole]
+        if held is not None:
+            yield handed(held)
+
+    def finish(table: pa.Table) -> pa.Table:
+        counts, cut = shared.value
+        ids, own = table.column("i")[0].values, numbers(table.column("place"), 0)
+        mine, best, apart = [np.stack([np.frombuffer(table.column(c)[r].as_buffer()).reshape(len(own), len(cut) if c == "s" else 1) for r in range(table.num_rows)]) for c in ("own", "best", "s")]
+        mine, best, apart = mine.sum(axis=0)[:, 0], best.min(axis=0)[:, 0], apart.sum(axis=0)
+        same = own[:, None] == cut[None, :]
+        mine = mine + np.where(same, apart, 0.0).sum(axis=1)
+        best = np.minimum(best, np.where(same, np.inf, apart / counts[cut]).min(axis=1, initial=np.inf))
+        a = mine / np.maximum(counts[own] - 1, 1)
+        return pa.table([ids, pa.array(own), pa.array(a), pa.array(best)], names=["i", "place", "a", "b"])
+
+    kind_of_id = points.schema["i"].dataType.simpleString()
+    seen = met.mapInArrow(sums, f"part long, i array<{kind_of_id}>, place array<int>, own binary, best binary, s binary")
+    found = seen.groupBy("part").applyInArrow(finish, f"i {kind_of_id}, place int, a double, b double")
+    total = found.join(dealt.select("k", "place", "n"), "place")
+    # without another cluster there is no value
+    total = total.withColumn("b", F.when(F.col("b") < float("inf"), F.col("b"))).withColumn("top", F.greatest("a", "b"))
     value = F.when((F.col("n") > 1) & (F.col("top") > 0), (F.col("b") - F.col("a")) / F.col("top")).otherwise(0.0)
     return total.select(F.col("i").alias(id_col), F.col("k").alias(cluster), value.alias("silhouette"))
 

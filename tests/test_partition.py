@@ -98,3 +98,26 @@ def test_silhouette_of_more_rows_than_the_old_limit(spark):
     df = spark.range(10500).selectExpr("id as listing_id", "cast(id % 2 as int) as cluster", "array(cast(id % 2 as double) * 10, cast(id % 7 as double) / 10) as vec")
     rows = quality.silhouette_rows(df)
     assert rows.count() == 10500 and rows.agg({"silhouette": "min"}).first()[0] > 0.9
+
+
+def test_silhouette_parts_meet_without_a_shuffle_of_vectors(spark, monkeypatch):
+    """Clusters of very different sizes: small ones share a part, large ones are cut; sums per cluster travel for cut clusters only."""
+    monkeypatch.setattr(quality, "SILHOUETTE_BLOCK", 20)
+    rng = np.random.default_rng(5)
+    labels = np.r_[np.zeros(70, int), np.ones(45, int), np.repeat(np.arange(2, 40), 3), [40]]
+    x = np.round(rng.normal(size=(len(labels), 3)) + labels[:, None] % 5, 3)
+    x[1] = x[0]
+    df = spark.createDataFrame([(i, int(k), v.tolist()) for i, (k, v) in enumerate(zip(labels, x))], "listing_id long, cluster int, vec array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = []
+    for i, k in enumerate(labels):
+        means = {c: d[i][labels == c].mean() for c in set(labels.tolist()) - {k}}
+        a, b = d[i][labels == k].sum() / max(1, (labels == k).sum() - 1), min(means.values())
+        want.append((b - a) / max(a, b) if (labels == k).sum() > 1 else 0.0)
+    rows = quality.silhouette_rows(df)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan
+    got = {r["listing_id"]: r["silhouette"] for r in rows.collect()}
+    assert np.allclose([got[i] for i in range(len(labels))], want)
+    some = quality.silhouette_rows(df, scored=df.where("listing_id % 7 = 0")).collect()
+    assert {r["listing_id"] for r in some} == set(range(0, len(labels), 7)) and all(abs(r["silhouette"] - want[r["listing_id"]]) < 1e-9 for r in some)
