@@ -315,3 +315,22 @@ def test_sweep_queries_cover_the_whole_range(monkeypatch):
     for name in ("c5_sweep_k", "c6_elbow"):
         learning.QUERIES[name][0](None, "")
     assert calls == [(list(range(50, 301, 5)), 3, 20), (list(range(2, 16)), 10, 300)]
+
+
+def test_search_shuffles_each_block_once(spark, monkeypatch):
+    """Blocks are read where they meet: no vector is in an exchange behind the packed blocks, and a looser bound changes nothing."""
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(size=(150, 4)), 2)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    found = vectors.block_search(vectors.make_blocks(df, block_rows=16), "knn", 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "vec" in line]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    got = {(r["id"], r["rank"]): r["value"] for r in found.collect()}
+    want = np.sort(d, axis=1)[:, :3]
+    assert all(abs(got[i, r + 1] - want[i, r]) < 1e-9 for i in range(150) for r in range(3))
+    asked = df.withColumn("ask", F.col("id") % 5 == 0).withColumn("most", F.lit(float("inf")))
+    some = vectors.block_search(vectors.make_blocks(asked, block_rows=16), "knn", 3, bound="most", ask="ask").collect()
+    assert {(r["id"], r["rank"]): r["value"] for r in some} == {key: v for key, v in got.items() if key[0] % 5 == 0}
