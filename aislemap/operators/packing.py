@@ -9,6 +9,21 @@ from pyspark.sql import DataFrame
 from aislemap.session import materialise
 
 
+# Packed rows are large. Arrow batches of the default 64 MB of them crashed the JVM while its output buffer grew.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as a table, with packed rows sent to its Arrow functions in small batches."""
+    conf = df.sparkSession.conf
+    before = conf.get(BATCH_KEY)
+    conf.set(BATCH_KEY, BATCH_BYTES)
+    try:
+        return materialise(df)
+    finally:
+        conf.set(BATCH_KEY, before)
+
+
 def pack(df: DataFrame, key: str, vec: str) -> DataFrame:
     """One row per ``key``, written: the bytes of its vectors as doubles, and a list of every other column in the same order."""
     others = [c for c in df.columns if c not in (key, vec)]
@@ -21,7 +36,7 @@ def pack(df: DataFrame, key: str, vec: str) -> DataFrame:
 
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     schema = ", ".join([f"{key} {types[key]}", f"{vec} binary", *[f"{c} array<{types[c]}>" for c in others]])
-    return materialise(df.select(key, vec, *others).groupBy(key).applyInArrow(one, schema))
+    return written(df.select(key, vec, *others).groupBy(key).applyInArrow(one, schema))
 
 
 def meeting(left: DataFrame, right: DataFrame, on=None) -> DataFrame:

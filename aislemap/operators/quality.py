@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from aislemap.functions.vector import distance, squared_distance, squared_norm
 from aislemap.operators.clean import text_lengths
 from aislemap.operators.describe import cluster_centroids, crosstab_long, sample_key, top_n
-from aislemap.operators.packing import matrix, meeting, numbers, pack
+from aislemap.operators.packing import matrix, meeting, numbers, pack, written
 from aislemap.operators.partition import contingency, partition_scores
 from aislemap.operators.quantiles import exact_median
 from aislemap.session import materialise, small_side
@@ -310,7 +310,7 @@ def silhouette_rows(
         return pa.table([ids, pa.array(own), pa.array(a), pa.array(best)], names=["i", "place", "a", "b"])
 
     kind_of_id = points.schema["i"].dataType.simpleString()
-    seen = met.mapInArrow(sums, f"part long, i array<{kind_of_id}>, place array<int>, own binary, best binary, s binary")
+    seen = written(met.mapInArrow(sums, f"part long, i array<{kind_of_id}>, place array<int>, own binary, best binary, s binary"))
     found = seen.groupBy("part").applyInArrow(finish, f"i {kind_of_id}, place int, a double, b double")
     total = found.join(dealt.select("k", "place", "n"), "place")
     # without another cluster there is no value

@@ -18,7 +18,7 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, Window, functions as F
 
 from aislemap.functions.vector import unit
-from aislemap.operators.packing import matrix, meeting, numbers, pack
+from aislemap.operators.packing import matrix, meeting, numbers, pack, written
 from aislemap.operators.quality import sample_rows
 from aislemap.operators.quantiles import exact_quantiles
 from aislemap.session import materialise
@@ -290,7 +290,7 @@ def block_search(
     types = {f.name: f.dataType.simpleString() for f in packed.schema}
     given = ", ".join(f"{c} {types[c]}" for c in ("block", vec, id_col, *extra))
     local = packed.mapInArrow(own_block, f"{given}, _targets array<long>, _worst array<double>, _ids array<long>, _others array<long>, _values array<double>")
-    local = local if single else materialise(local)
+    local = local if single else written(local)
     inside = local.select(F.explode(F.arrays_zip("_ids", "_others", "_values")).alias("z")).select(
         F.col("z._ids").alias("id"), F.col("z._others").alias("other"), F.col("z._values").alias("value")
     )
@@ -321,7 +321,7 @@ def block_search(
         left = local.where(F.size("_targets") > 0).select("block", id_col, vec, *extra, "_worst", "_targets")
         right = packed.select(*[F.col(c).alias("r_" + c) for c in ("block", id_col, vec, *extra)])
         pairs = meeting(left, right, F.array_contains("_targets", F.col("r_block"))).drop("_targets")
-        found = inside.unionByName(pairs.mapInArrow(across, "id bigint, other bigint, value double"))
+        found = inside.unionByName(written(pairs.mapInArrow(across, "id bigint, other bigint, value double")))
     low_id, high_id = F.least("id", "other"), F.greatest("id", "other")
     order = Window.partitionBy("id").orderBy(F.round("value", 12), low_id, high_id)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 
-from aislemap.operators import partition, quality
+from aislemap.operators import packing, partition, quality
 
 
 def scores(spark, u, v):
@@ -114,9 +114,17 @@ def test_silhouette_parts_meet_without_a_shuffle_of_vectors(spark, monkeypatch):
         means = {c: d[i][labels == c].mean() for c in set(labels.tolist()) - {k}}
         a, b = d[i][labels == k].sum() / max(1, (labels == k).sum() - 1), min(means.values())
         want.append((b - a) / max(a, b) if (labels == k).sum() > 1 else 0.0)
+    plans, write, batch = [], packing.materialise, spark.conf.get(packing.BATCH_KEY)
+
+    def noted(table):
+        plans.append((table._jdf.queryExecution().executedPlan().toString(), spark.conf.get(packing.BATCH_KEY)))
+        return write(table)
+
+    monkeypatch.setattr(packing, "materialise", noted)
     rows = quality.silhouette_rows(df)
-    plan = rows._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" in plan
+    met = [(plan, size) for plan, size in plans if "CartesianProduct" in plan]
+    assert met and all("Exchange" not in plan and size == packing.BATCH_BYTES for plan, size in met)
+    assert spark.conf.get(packing.BATCH_KEY) == batch
     got = {r["listing_id"]: r["silhouette"] for r in rows.collect()}
     assert np.allclose([got[i] for i in range(len(labels))], want)
     some = quality.silhouette_rows(df, scored=df.where("listing_id % 7 = 0")).collect()
