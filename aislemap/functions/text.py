@@ -7,6 +7,7 @@ characters, combining marks are not.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -37,7 +38,10 @@ DESCRIPTION_MINIMUM = 10
 INCH_UNIT = r'\s*(?:inch|in|")'
 INCHES, INCHES_DECIMAL = r"(\d+)" + INCH_UNIT, r"(\d+)[.,](\d+)" + INCH_UNIT
 DIMENSIONS = r"(\d+)[xX×](\d+)(?:[xX×](\d+))?"
-PUNCTUATION = r"[^\p{L}\p{N}_\s-]"
+# In every text that has a size of the three kinds.
+MEASURES = r'\d(?:\s*(?:in|"|gb|tb|mb)|[xX×]\d)'
+# Punctuation and spaces together: all that is no word character and no hyphen.
+BETWEEN_WORDS = r"[^a-z\p{L}\p{N}_-]+"
 
 _WORD = r"[\p{L}\p{N}_]"
 
@@ -56,13 +60,20 @@ def _sub(text: Column, pattern: str, replacement: str) -> Column:
 
 
 def _whole_words(words) -> str:
-    return f"(?<!{_WORD})(?:{'|'.join(words)})(?!{_WORD})"
+    """The words between other characters. What stands before is only looked at where a word can start."""
+    firsts = "".join(sorted({option[0] for word in words for option in word.split("|")}))
+    return f"(?=[{firsts}])(?<!{_WORD})(?:{'|'.join(words)})(?!{_WORD})"
+
+
+def _where_found(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
+    """``change`` of texts in which ``pattern`` is found; it must leave all others as they are. One search stands for its many."""
+    changed = F.transform(F.array(text), lambda t: F.when(t.rlike("(?U)" + pattern), change(t)).otherwise(t))
+    return changed[0]
 
 
 def strip_punct_squeeze(c) -> Column:
     """Everything but word characters, spaces and hyphens becomes a space; runs shrink to one."""
-    spaced = _sub(_col(c), PUNCTUATION, " ")
-    return F.trim(_sub(spaced, r"\s+", " "))
+    return F.trim(_sub(_col(c), BETWEEN_WORDS, " "))
 
 
 def basic_preprocess(c) -> Column:
@@ -71,7 +82,8 @@ def basic_preprocess(c) -> Column:
 
 def tag_language(c) -> Column:
     """``lt`` when a Lithuanian letter occurs, otherwise ``en``."""
-    marked = F.coalesce(_col(c), F.lit("")).rlike(f"[{LITHUANIAN_LETTERS}]")
+    # one range tells most characters apart
+    marked = F.coalesce(_col(c), F.lit("")).rlike(f"[{min(LITHUANIAN_LETTERS)}-{max(LITHUANIAN_LETTERS)}&&[{LITHUANIAN_LETTERS}]]")
     return F.when(marked, "lt").otherwise("en")
 
 
@@ -87,7 +99,7 @@ def norm_storage(c) -> Column:
     """Sizes with a unit become ``storage_large``, ``storage_medium`` or ``storage_small``."""
     text = _col(c)
     for size, name in ((_OVER_128, "large"), (_OVER_32, "medium"), (r"\d+", "small")):
-        text = _sub(text, r"(?<!\d)" + size + _STORAGE_UNIT, "storage_" + name)
+        text = _sub(text, r"(?=\d)(?<!\d)" + size + _STORAGE_UNIT, "storage_" + name)
     return text
 
 
@@ -100,14 +112,24 @@ def remove_stopwords_by_lang(c, lang: Column) -> Column:
 
 
 def norm_terms(c) -> Column:
-    return reduce(lambda text, rule: _sub(text, _whole_words([rule[0]]), rule[1]), TERM_REWRITES, _col(c))
+    # the first rule that changes a text finds its match in the text as it came
+    return _where_found(
+        _col(c), _whole_words([term for term, _ in TERM_REWRITES]),
+        lambda t: reduce(lambda text, rule: _sub(text, _whole_words([rule[0]]), rule[1]), TERM_REWRITES, t),
+    )
+
+
+def norm_measures(c) -> Column:
+    """Inches, dimensions and storage sizes, in this order."""
+    return _where_found(_col(c), MEASURES, lambda t: norm_storage(norm_dimensions(norm_inches(t))))
 
 
 def robust_preprocess(c) -> Column:
-    text = F.lower(F.coalesce(_col(c), F.lit("")))
-    lang = tag_language(text)
-    text = norm_storage(norm_dimensions(norm_inches(text)))
-    return strip_punct_squeeze(norm_terms(remove_stopwords_by_lang(text, lang)))
+    # the one-element transform lowers the text once
+    def steps(text: Column) -> Column:
+        return strip_punct_squeeze(norm_terms(remove_stopwords_by_lang(norm_measures(text), tag_language(text))))
+
+    return F.transform(F.array(F.lower(F.coalesce(_col(c), F.lit("")))), steps)[0]
 
 
 def text_features(title="title", seller="seller", price="price", description="description") -> Column:

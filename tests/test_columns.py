@@ -90,3 +90,14 @@ def test_word_characters_as_in_python(spark):
         assert r["tokens"] == re.findall(r"\b\w\w+\b", low)
         assert r["plain"] == re.sub(r"\s+", " ", re.sub(r"[^\w\s-]", " ", low)).strip()
         assert r["kept"] == re.sub(r"\b(?:" + "|".join(text.ENGLISH_STOPWORDS_SHORT) + r")\b", " ", r["t"])
+
+
+def test_searches_that_spare_replacements_miss_none(spark):
+    samples = ["3.5 inch", '5"', "5　in", "12x30", "1×2×3 x4", "64 gb", "٣mb", "in 5", "x4 5x", "the case", "", "129tb and 2in by 4 X 5"]
+    chain = values(spark, samples, lambda c: text.norm_storage(text.norm_dimensions(text.norm_inches(c))))
+    assert values(spark, samples, text.norm_measures) == chain
+    # a term that only another rule makes, and none inside words
+    samples = ["silicon shell", "water proof cm", "inchworm", "x_cm", "re-inch", "cordless²", "plain words", None]
+    assert values(spark, samples, text.norm_terms) == ["silicone case", "waterproof cm", "inchworm", "x_cm", "re-in", "cordless²", "plain words", None]
+    # what stands before a word is looked at only where one can start
+    assert text._whole_words(["the", "of|by"]).startswith("(?=[bot])")
