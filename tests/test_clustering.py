@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aislemap.operators import density, kmeans, packing, vectors, ward
+from aislemap.session import materialise
 
 
 def points(n=70, d=3, seed=3, groups=4):
@@ -335,3 +336,38 @@ def test_search_shuffles_each_block_once(spark, monkeypatch):
     asked = df.withColumn("ask", F.col("id") % 5 == 0).withColumn("most", F.lit(float("inf")))
     some = vectors.block_search(vectors.make_blocks(asked, block_rows=16), "knn", 3, bound="most", ask="ask").collect()
     assert {(r["id"], r["rank"]): r["value"] for r in some} == {key: v for key, v in got.items() if key[0] % 5 == 0}
+
+
+def test_spanning_tree_points_keep_their_partner(spark, monkeypatch):
+    """The tree of all pairs, with ties and copies, while only some points search after the first round."""
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 40)
+    rng = np.random.default_rng(11)
+    x = np.vstack([rng.normal(size=(150, 3)), np.round(rng.normal(size=(90, 3)) * 2) / 2 + 4])
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    graph = materialise(vectors.knn_graph(points, 4, id_col="id"))
+    searched = []
+    tree = density.spanning_tree(materialise(points.join(density.core_distances(graph), "id")), graph, searched).toPandas()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    core = np.sort(d + np.diag(np.full(len(x), np.inf)), axis=1)[:, 3]
+    reach = np.maximum(np.maximum(core[:, None], core[None]), d)
+    # Prim over all pairs
+    weights, best = [], reach[0].copy()
+    inside = np.arange(len(x)) == 0
+    for _ in range(len(x) - 1):
+        nxt = int(np.where(inside, np.inf, best).argmin())
+        weights.append(best[nxt])
+        inside[nxt] = True
+        best = np.minimum(best, reach[nxt])
+    assert np.sort(tree["w"]) == pytest.approx(np.sort(weights), abs=1e-9)
+    up = list(range(len(x)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b, w in tree.itertuples(index=False):
+        assert w == pytest.approx(reach[a, b], abs=1e-9) and top(a) != top(b)
+        up[top(a)] = top(b)
+    first, later = searched[0][1], [asked for _, asked in searched[1:]]
+    assert later and sum(later) < first
