@@ -371,3 +371,17 @@ def test_spanning_tree_points_keep_their_partner(spark, monkeypatch):
         up[top(a)] = top(b)
     first, later = searched[0][1], [asked for _, asked in searched[1:]]
     assert later and sum(later) < first
+
+
+@pytest.mark.parametrize("many", [1, 100])
+def test_centre_sums_add_each_row_once(spark, monkeypatch, many):
+    """Sums, numbers and distances per centre, also of a centre that has no rows."""
+    monkeypatch.setattr(kmeans, "MANY_CENTRES", many)
+    x = points(200, 3, seed=4)
+    centres = np.vstack([x[:6], [[1e6, 1e6, 1e6]]])
+    got = kmeans.centre_sums(frame(spark, x), {(7, 0): centres})[7, 0]
+    d2 = ((x[:, None] - centres[None]) ** 2).sum(2)
+    near = d2.argmin(1)
+    for c in range(7):
+        want = [*x[near == c].sum(0), (near == c).sum(), d2[near == c, c].sum()]
+        assert got[c] == pytest.approx(want, abs=1e-8)
