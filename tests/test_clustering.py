@@ -87,6 +87,26 @@ def test_ward_tree(spark, monkeypatch, block_rows):
     assert sorted(used) == sorted(list(range(len(x))) + [len(x) - 1 + s for s in range(1, len(x) - 1)])
 
 
+def test_ward_ends_in_one_task(spark, monkeypatch):
+    x = points(30, seed=4)
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 6)
+    calls, search = [], ward.block_search
+    monkeypatch.setattr(ward, "block_search", lambda blocks, *a, **k: calls.append(blocks) or search(blocks, *a, **k))
+    apart = ward.ward_tree(frame(spark, x))
+    # rounds of jobs only while there are four blocks of clusters or more
+    assert 0 < len(calls) == sum(rows >= 24 for rows, _ in apart.searched) < len(apart.searched)
+    monkeypatch.setattr(ward, "LAST_BLOCKS", 0.2)
+    jobs = ward.ward_tree(frame(spark, x))
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 1024)
+    monkeypatch.setattr(ward, "LAST_BLOCKS", 4)
+    whole = ward.ward_tree(frame(spark, x))
+    rows = [[tuple(r) for r in t.merges.orderBy("step").collect()] for t in (whole, apart, jobs)]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) == 29
+    assert whole.searched == apart.searched == jobs.searched
+    with pytest.raises(ValueError):
+        ward.ward_tree(frame(spark, np.full((5, 3), np.nan)))
+
+
 def test_ward_with_ties_and_copies(spark):
     # a grid, where most costs are equal, and copies of one point; any order of ties gives a tree of all rows
     x = np.array([[i, j] for i in range(5) for j in range(4)] + [[2, 2]] * 8, dtype=float)
