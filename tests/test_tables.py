@@ -84,6 +84,21 @@ def test_encoder_hook(spark):
     assert got == {1: [2.0, 1.0], 2: [0.0, 1.0]}
 
 
+def test_embedded_rows_are_dealt_by_their_size(spark, monkeypatch):
+    from aislemap import session
+    from aislemap.operators import vectors
+
+    # equal texts, whose stored rows are far smaller than those in memory
+    df = spark.range(4000).select(F.col("id").alias("listing_id"), F.concat(F.lit("red lamp "), F.col("id") % 5).alias("title"))
+    parts, svd = [], vectors.truncated_svd
+    monkeypatch.setattr(vectors, "truncated_svd", lambda rows, *a, **k: parts.append(rows.rdd.getNumPartitions()) or svd(rows, *a, **k))
+    whole = {r["listing_id"]: r["vec"] for r in features.embed_text(df, "title", dims=2).collect()}
+    monkeypatch.setattr(session, "PART_BYTES", 1 << 14)
+    dealt = {r["listing_id"]: r["vec"] for r in features.embed_text(df, "title", dims=2).collect()}
+    assert parts[0] <= 8 and parts[1] >= 4000 * 88 // (1 << 14)
+    assert whole.keys() == dealt.keys() and all(np.allclose(whole[i], dealt[i]) for i in whole)
+
+
 def test_top_k_is_cut_before_the_shuffle(spark):
     plan = describe.cluster_first_titles(listings(spark), 5)._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
