@@ -28,9 +28,20 @@ def _keyed(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(by)) if by else (df.withColumn(_ALL, F.lit(0)), [_ALL])
 
 
-def partition_shape(df: DataFrame, by: Sequence[str] = (), cluster: str = "cluster") -> DataFrame:
+def cluster_profile(df: DataFrame, by: Sequence[str] = (), cluster: str = "cluster", price: str = "price") -> DataFrame:
+    """Rows (``n``), variation and relative range of the prices of every cluster, from one pass.
+
+    Measures that need no more take it as ``profile`` in place of the rows.
+    """
+    mean = F.nullif(F.avg(price), F.lit(0.0))
+    return df.groupBy(*by, cluster).agg(
+        F.count("*").alias("n"), (F.stddev_samp(price) / mean).alias("cv"), ((F.max(price) - F.min(price)) / mean).alias("range_ratio")
+    )
+
+
+def partition_shape(df: DataFrame, by: Sequence[str] = (), cluster: str = "cluster", profile: DataFrame | None = None) -> DataFrame:
     """Clusters, rows and rows per cluster."""
-    sizes = df.groupBy(*by, cluster).agg(F.count("*").alias("n"))
+    sizes = df.groupBy(*by, cluster).agg(F.count("*").alias("n")) if profile is None else profile
     return sizes.groupBy(*by).agg(
         F.count("*").alias("num_clusters"),
         F.sum("n").alias("num_samples"),
@@ -38,9 +49,9 @@ def partition_shape(df: DataFrame, by: Sequence[str] = (), cluster: str = "clust
     )
 
 
-def cluster_size_stats(df: DataFrame, by: Sequence[str] = (), cluster: str = "cluster") -> DataFrame:
+def cluster_size_stats(df: DataFrame, by: Sequence[str] = (), cluster: str = "cluster", profile: DataFrame | None = None) -> DataFrame:
     """Spread of the cluster sizes and the share of clusters under one percent of the rows."""
-    sizes, keys = _keyed(df.groupBy(*by, cluster).agg(F.count("*").alias("n")), by)
+    sizes, keys = _keyed(df.groupBy(*by, cluster).agg(F.count("*").alias("n")) if profile is None else profile, by)
     totals = sizes.groupBy(*keys).agg(F.sum("n").alias("rows"))
     out = (
         sizes.join(totals, keys)
@@ -75,12 +86,9 @@ def seller_concentration(df: DataFrame, by: Sequence[str] = (), cluster: str = "
     )
 
 
-def price_homogeneity(df: DataFrame, by: Sequence[str] = (), cluster: str = "cluster", price: str = "price") -> DataFrame:
+def price_homogeneity(df: DataFrame, by: Sequence[str] = (), cluster: str = "cluster", price: str = "price", profile: DataFrame | None = None) -> DataFrame:
     """Mean coefficient of variation, its complement, and mean relative price range."""
-    mean = F.nullif(F.avg(price), F.lit(0.0))
-    per = df.groupBy(*by, cluster).agg(
-        (F.stddev_samp(price) / mean).alias("cv"), ((F.max(price) - F.min(price)) / mean).alias("range_ratio")
-    )
+    per = cluster_profile(df, by, cluster, price) if profile is None else profile
     return per.groupBy(*by).agg(
         F.avg("cv").alias("avg_price_cv"),
         (1 - F.avg("cv")).alias("price_homogeneity"),
@@ -117,11 +125,13 @@ def centroid_separability(df: DataFrame, by: Sequence[str] = (), cluster: str =
     return out if by else out.drop(_ALL)
 
 
-def noise_percent(df: DataFrame, by: Sequence[str] = (), cluster: str = "cluster") -> DataFrame:
+def noise_percent(df: DataFrame, by: Sequence[str] = (), cluster: str = "cluster", profile: DataFrame | None = None) -> DataFrame:
     """Share of noise rows in percent: by flag, else by label -1 and then only when there are any."""
     if "is_noise" in df.columns:
         return df.groupBy(*by).agg((F.avg(F.col("is_noise").cast("double")) * 100).alias("noise_percent"))
     share = F.avg(F.when(F.col(cluster) == -1, 1.0).otherwise(0.0)) * 100
+    if profile is not None:
+        df, share = profile, F.sum(F.when(F.col(cluster) == -1, F.col("n")).otherwise(0)) / F.sum("n") * 100
     return df.groupBy(*by).agg(F.when(share > 0, share).alias("noise_percent"))
 
 

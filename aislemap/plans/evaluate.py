@@ -17,24 +17,27 @@ from aislemap.session import materialise
 def method_metrics(labels: DataFrame, sizes: bool = True) -> DataFrame:
     """Metrics for a long table of labels with a ``method`` and ``method_category`` column.
 
-    Every measure groups by method, so all methods are scored in the same passes.
-    Noise is reported for density-based methods only.
+    Every measure groups by method, so all methods are scored in the same passes, and those
+    of whole clusters share one. Noise is reported for density-based methods only.
     """
     by = ["method"]
+    # a method has one category
+    profile = materialise(quality.cluster_profile(labels, ["method", "method_category"]))
+    density = "method_category = 'density-based'"
     parts = [
         quality.external_metrics(labels, by),
         quality.seller_concentration(labels, by),
-        quality.price_homogeneity(labels, by),
-        quality.noise_percent(labels.where("method_category = 'density-based'"), by),
+        quality.price_homogeneity(labels, by, profile=profile),
+        quality.noise_percent(labels.where(density), by, profile=profile.where(density)),
     ]
     if "title_length" in labels.columns:
         parts.append(quality.centroid_separability(labels, by))
     if sizes:
-        parts.append(quality.cluster_size_stats(labels, by))
-    out = quality.partition_shape(labels, by)
+        parts.append(quality.cluster_size_stats(labels, by, profile=profile))
+    out = quality.partition_shape(labels, by, profile=profile)
     for part in parts:
         out = out.join(part, "method", "left")
-    categories = labels.groupBy("method").agg(F.first("method_category").alias("method_category"))
+    categories = profile.groupBy("method").agg(F.first("method_category").alias("method_category"))
     return materialise(out.join(categories, "method"))
 
 

@@ -11,7 +11,7 @@ METHOD_LABELS = [
     ("division_label", "traditional", "length(division) + 10 * ascii(division)",
      lambda: F.length("division") + 10 * F.ascii("division")),
     ("brand_label", "traditional", "CAST(replace(split_part(subcategory, ' ', 1), 'Brand#', '') AS INTEGER)",
-     lambda: F.regexp_replace(F.split_part("subcategory", F.lit(" "), F.lit(1)), "Brand#", "").cast("int")),
+     lambda: F.replace(F.split_part("subcategory", F.lit(" "), F.lit(1)), F.lit("Brand#"), F.lit("")).cast("int")),
     ("name_label", "transformer-based", "ascii(title) * 100 + length(title)", lambda: F.ascii("title") * 100 + F.length("title")),
     ("seller_label", "transformer-based", "CAST(right(seller, 2) AS INTEGER) % 30", lambda: F.right("seller", F.lit(2)).cast("int") % 30),
     ("price_label", "topic-based", "CAST(least(floor(price / 10), 40) AS INTEGER)",

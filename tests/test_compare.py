@@ -116,3 +116,35 @@ def test_density_parameters(spark):
     assert top["score"] == pytest.approx(0.6204, abs=1e-4)
     few = select_density_params(runs.where("n_clusters < 20")).first()
     assert few["n_clusters"] == 18
+
+
+def test_measures_of_whole_clusters_share_one_pass(spark):
+    from aislemap.operators import quality
+    from aislemap.plans.evaluate import method_metrics
+    from aislemap.session import materialise
+
+    n = 240
+    rows = [("ab"[i % 2], ["density-based", "traditional"][i % 2], i % 7 - 1, f"d{i % 3}", f"s{i % 5}", f"x{i % 4}", float(i % 11) if i % 13 else None) for i in range(n)]
+    labels = spark.createDataFrame(rows, "method string, method_category string, cluster int, division string, subcategory string, seller string, price double")
+    labels = materialise(labels)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    got = method_metrics(labels.mapInPandas(counted, labels.schema)).toPandas().set_index("method")
+    # one pass for the clusters, one or two for the sellers, one or two for the known groupings
+    assert n <= read.value <= 5 * n
+    by = ["method"]
+    plain = [
+        quality.partition_shape(labels, by), quality.cluster_size_stats(labels, by), quality.price_homogeneity(labels, by),
+        quality.noise_percent(labels.where("method_category = 'density-based'"), by),
+    ]
+    for part in plain:
+        for r in part.collect():
+            for name, value in r.asDict().items():
+                if name != "method":
+                    assert got.loc[r["method"], name] == pytest.approx(value)
+    assert got.loc["a", "method_category"] == "density-based" and got.loc["b", "noise_percent"] != got.loc["a", "noise_percent"]
