@@ -16,7 +16,7 @@ from aislemap.operators.describe import cluster_centroids, crosstab_long, sample
 from aislemap.operators.packing import matrix, meeting, numbers, pack, written
 from aislemap.operators.partition import contingency, partition_scores
 from aislemap.operators.quantiles import exact_median
-from aislemap.session import materialise, small_side
+from aislemap.session import materialise, small_side, spread
 
 _ALL = "_all"
 
@@ -180,8 +180,11 @@ def method_agreement(a: DataFrame, b: DataFrame, on: str = "title", cluster: str
 
 
 def match_methods(a: DataFrame, b: DataFrame, on: str = "title", cluster: str = "cluster", suffixes: tuple[str, str] = ("_traditional", "_transformer")) -> DataFrame:
-    """Inner join of two labelings; with ``on='title'`` repeated titles fan out, with an id they do not."""
-    left = a.select(on, F.col(cluster).alias(cluster + suffixes[0]))
+    """Inner join of two labelings; with ``on='title'`` repeated titles fan out, with an id they do not.
+
+    The result can be far larger than both inputs, so a small input is spread over all cores first.
+    """
+    left = spread(a.select(on, F.col(cluster).alias(cluster + suffixes[0])))
     right = b.select(on, F.col(cluster).alias(cluster + suffixes[1]))
     return left.join(right, on)
 

@@ -129,3 +129,13 @@ def test_silhouette_parts_meet_without_a_shuffle_of_vectors(spark, monkeypatch):
     assert np.allclose([got[i] for i in range(len(labels))], want)
     some = quality.silhouette_rows(df, scored=df.where("listing_id % 7 = 0")).collect()
     assert {r["listing_id"] for r in some} == set(range(0, len(labels), 7)) and all(abs(r["silhouette"] - want[r["listing_id"]]) < 1e-9 for r in some)
+
+
+def test_matches_of_a_small_file_are_made_by_all_cores(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "titles")
+    spark.range(400).select(F.concat(F.lit("t"), F.col("id") % 4).alias("title"), (F.col("id") % 7).alias("cluster")).coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path)
+    joined = quality.match_methods(df, df.withColumn("cluster", F.col("cluster") % 2))
+    assert joined.rdd.getNumPartitions() > 1 and joined.count() == 40000
