@@ -139,3 +139,51 @@ def test_matches_of_a_small_file_are_made_by_all_cores(spark, tmp_path):
     df = spark.read.parquet(path)
     joined = quality.match_methods(df, df.withColumn("cluster", F.col("cluster") % 2))
     assert joined.rdd.getNumPartitions() > 1 and joined.count() == 40000
+
+
+def brute_silhouettes(x, labels):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    out = []
+    for i, k in enumerate(labels):
+        means = {c: d[i][labels == c].mean() for c in set(labels.tolist()) - {k}}
+        a, b = d[i][labels == k].sum() / max(1, (labels == k).sum() - 1), min(means.values())
+        out.append((b - a) / max(a, b) if (labels == k).sum() > 1 else 0.0)
+    return out
+
+
+@pytest.mark.parametrize("block, dims, travel", [(4096, 12, 1 << 26), (25, 12, 1 << 26), (25, 3, 1 << 26), (25, 12, 0)])
+def test_silhouette_compares_only_clusters_that_can_be_nearest(spark, monkeypatch, block, dims, travel):
+    """Two labelings at once, with wide, far, tiny and repeated clusters; most pairs are left out without changing a value."""
+    monkeypatch.setattr(quality, "SILHOUETTE_BLOCK", block)
+    monkeypatch.setattr(quality, "SHAPE_BYTES", travel)
+    monkeypatch.setattr(quality, "CALL_TIME", 0)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, dims)) * 4
+    labels = np.r_[np.repeat(np.arange(10), 24), [10] * 70, [11]]
+    x = centres[labels] + rng.normal(size=(len(labels), dims)) * np.where(labels == 3, 5.0, 0.7)[:, None] + 100
+    x[5] = x[4]
+    other = np.where(labels < 5, 0, labels)
+    rows = [(m, i, int(k), v.tolist()) for m, own in (("a", labels), ("b", other)) for i, (k, v) in enumerate(zip(own, x))]
+    df = spark.createDataFrame(rows, "method string, listing_id long, cluster int, vec array<double>")
+    want = {(m, i): v for m, own in (("a", labels), ("b", other)) for i, v in enumerate(brute_silhouettes(x, own))}
+    got = {(r["method"], r["listing_id"]): r["silhouette"] for r in quality.silhouette_rows(df, by="method").collect()}
+    assert got.keys() == want.keys() and all(abs(got[key] - v) < 1e-9 for key, v in want.items())
+    means = {r["method"]: r["silhouette_score"] for r in quality.silhouette(df, by="method").collect()}
+    assert means["a"] == pytest.approx(np.mean([v for (m, _), v in want.items() if m == "a"]))
+
+
+@pytest.mark.parametrize("dims", [2, 20])
+def test_shapes_bound_the_mean_distance(dims):
+    from aislemap.operators import shapes
+
+    rng = np.random.default_rng(dims)
+    labels = np.arange(600) % 12
+    x = rng.normal(size=(600, dims)) * rng.gamma(2.0, size=dims) + rng.normal(size=(12, dims))[labels] * 6
+    groups = [x[labels == k] for k in range(12)]
+    known = np.vstack([shapes.shape(shapes.moments(g, g.mean(0)), g.mean(0)) for g in groups])
+    assert known.shape[1] == shapes.width(dims)
+    asked = shapes.reachable(x, labels, known)
+    means = np.column_stack([np.sqrt(((x[:, None] - g[None]) ** 2).sum(2)).mean(1) for g in groups])
+    means[np.arange(600), labels] = np.inf
+    assert asked[np.arange(600), labels].all() and asked[np.arange(600), means.argmin(1)].all()
+    assert asked.mean() < 0.5
