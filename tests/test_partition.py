@@ -187,3 +187,19 @@ def test_shapes_bound_the_mean_distance(dims):
     means[np.arange(600), labels] = np.inf
     assert asked[np.arange(600), labels].all() and asked[np.arange(600), means.argmin(1)].all()
     assert asked.mean() < 0.5
+
+
+@pytest.mark.parametrize("block", [4096, 20])
+def test_silhouettes_of_several_labelings_share_their_distances(spark, monkeypatch, block):
+    monkeypatch.setattr(quality, "SILHOUETTE_BLOCK", block)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(110, 4)) + (np.arange(110) % 4)[:, None] * 2
+    x[7] = x[3]
+    labels = [np.arange(110) % 4, np.where(np.arange(110) == 0, 9, np.arange(110) % 3), np.zeros(110, int)]
+    df = spark.createDataFrame([(i, [int(own[i]) for own in labels], x[i].tolist()) for i in range(110)], "listing_id long, clusters array<int>, vec array<double>")
+    plans, write = [], packing.materialise
+    monkeypatch.setattr(packing, "materialise", lambda table: plans.append(table._jdf.queryExecution().executedPlan().toString()) or write(table))
+    got = {r["model"]: r["silhouette_score"] for r in quality.silhouettes(df).collect()}
+    assert sum("CartesianProduct" in plan for plan in plans) == 1
+    assert set(got) == {0, 1, 2} and got[2] is None
+    assert all(got[m] == pytest.approx(np.mean(brute_silhouettes(x, labels[m]))) for m in (0, 1))
