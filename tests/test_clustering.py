@@ -405,3 +405,20 @@ def test_centre_sums_add_each_row_once(spark, monkeypatch, many):
     for c in range(7):
         want = [*x[near == c].sum(0), (near == c).sum(), d2[near == c, c].sum()]
         assert got[c] == pytest.approx(want, abs=1e-8)
+
+
+@pytest.mark.parametrize("scale, shift, largest", [(1.0, 0.0, 1e24), (1.0, 1e6, 1e24), (1e-9, 0.0, 1e24), (1e14, 0.0, 1e24), (1.0, 0.0, 0.0)])
+def test_search_in_single_precision_is_exact(spark, monkeypatch, scale, shift, largest):
+    """Partners that single precision cannot tell apart, far from the origin, tiny and too large for it, and without it."""
+    monkeypatch.setattr(vectors, "LARGEST_SINGLE", largest)
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(60, 6))
+    x = np.vstack([x, x + 1e-5 * rng.normal(size=x.shape), x[:20] + 1e-7]) * scale + shift
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    found = vectors.block_search(vectors.make_blocks(df, block_rows=16), "knn", 3).collect()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    got = {(r["id"], r["rank"]): (r["other"], r["value"]) for r in found}
+    want = np.sort(d, axis=1)[:, :3]
+    assert all(got[i, r + 1][1] == pytest.approx(want[i, r], rel=1e-9, abs=1e-12) for i in range(len(x)) for r in range(3))
+    assert all(got[i, r + 1][1] == d[i, got[i, r + 1][0]] for i in range(len(x)) for r in range(3))
