@@ -79,6 +79,17 @@ def test_run_facts_count_inside_the_row(spark):
     assert "Generate" not in facts._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("low, high", [(1, 5), (2, 3), (3, 3)])
+def test_runs_of_a_row_are_numbered_not_written(spark, low, high):
+    """Facts of every length, where short texts end a run, with no run of a text in the plan."""
+    rows, df = shared_ids(spark)
+    facts = features.run_facts(df, "text", (low, high))
+    want = {i: (sum(c.values()), len(c), min(c, key=lambda t: t.encode()), max(c, key=lambda t: t.encode())) for i, c in runs_by_id(rows, low, high).items() if c}
+    assert {r[0]: tuple(r)[1:] for r in facts.collect()} == want
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "array_join" not in plan
+
+
 def test_feature_vectors_write_the_texts_once(spark, monkeypatch):
     rows = [(i, f"red case {i % 3}", f"long text of part {i % 4}", float(i + 1), "s") for i in range(12)]
     df = spark.createDataFrame(rows, "listing_id long, title string, description string, price double, seller string")
